@@ -32,5 +32,18 @@ SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.owner < k.doc_id)
 FROM k LEFT JOIN o ON k.k = o.k GROUP BY k.doc_id
 """
 
-QUERIES = {"op2_line_dedup": op2_line_dedup}
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenfile import token_files
+    from .tokenizing import vocabulary
+
+    return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op8_mix_sources, op10_token_files)}
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
