@@ -45,5 +45,43 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op8_mix_sources, op10_token_files)}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM s WHERE i + 19 <= len(w)
+), late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS r FROM win) WHERE r > 1
+), marks AS (
+  SELECT doc_id, i, sum(m) AS m FROM (SELECT doc_id, i, 1 AS m FROM late UNION ALL SELECT doc_id, i + 20, -1 FROM late) GROUP BY doc_id, i
+), cov AS (
+  SELECT s.doc_id, s.i, s.w[s.i] AS word,
+         coalesce(sum(m.m) OVER (PARTITION BY s.doc_id ORDER BY s.i ROWS UNBOUNDED PRECEDING), 0) > 0 AS gone
+  FROM s LEFT JOIN marks m ON m.doc_id = s.doc_id AND m.i = s.i
+), g AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r,
+         string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS k FROM cov GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_words, coalesce(g.r, 0) AS n_removed, sha256(coalesce(g.k, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprint_hex, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_substring_dedup, op8_mix_sources, op9_simhash, op10_token_files)}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL}
