@@ -83,5 +83,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_substring_dedup, op8_mix_sources, op9_simhash, op10_token_files)}
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import payload_digests, texts_as_media
+
+    return payload_digests(texts_as_media(table(spark, sf_dir, "documents")))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("probability", 6).alias("probability"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OPS = (op2_line_dedup, op4_media_columns, op5_substring_dedup, op6_quality_rules, op7_quality_classifier, op8_mix_sources, op9_simhash, op10_token_files)
+QUERIES = {f.__name__: f for f in _OPS}
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL}
