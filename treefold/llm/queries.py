@@ -102,6 +102,45 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_OPS = (op2_line_dedup, op4_media_columns, op5_substring_dedup, op6_quality_rules, op7_quality_classifier, op8_mix_sources, op9_simhash, op10_token_files)
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations
+), p AS (
+  SELECT conv_id, row_number() OVER w AS pos, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), x AS (
+  SELECT conv_id, pos, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos) AS pre, max(pos) OVER (PARTITION BY conv_id) AS n FROM p
+), whole AS (
+  SELECT min(conv_id) AS conv_id, n, pre FROM x WHERE pos = n GROUP BY n, pre
+)
+SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(n AS BIGINT) AS n_turns, pre AS rendered FROM whole
+WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.pos < x.n AND x.pos = whole.n AND x.pre = whole.pre)
+"""
+
+
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+    from .tokenizing import vocabulary
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_OPS = (
+    op1_chat_format, op2_line_dedup, op3_pack_sequences, op4_media_columns, op5_substring_dedup, op6_quality_rules,
+    op7_quality_classifier, op8_mix_sources, op9_simhash, op10_token_files, pipeline,
+)
 QUERIES = {f.__name__: f for f in _OPS}
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_substring_dedup": OP5_SQL}
