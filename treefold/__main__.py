@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from .functions.shipping import ship
 from .operators.decompose import Factors
 from .operators.matrix import as_rows
 from .plans.query import Options, run_query
@@ -27,6 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--dump", help="folder for the factors and rows as CSV")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("treefold").getOrCreate()
+    ship(spark)
     began = time.time()
     found = run_query(Database.from_config(spark, a.database, a.base).load_all(), a.query, Options(a.method, a.percent, a.iterations, a.compute_all, a.factor))
     if not isinstance(found, Factors):

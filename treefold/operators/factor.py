@@ -21,12 +21,8 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1) if batch.num_columns else np.zeros((batch.num_rows, 0))
 
 
-def tsqr(rows: DataFrame, columns: Sequence[str], fan_in: int = 32, width: int | None = None) -> np.ndarray:
-    """The upper factor of a tall matrix: every partition folds its batches into an n x n factor, a tree folds the factors.
-
-    A task holds one batch and one factor at a time; the driver gets at most fan_in factors.
-    """
-    n = len(columns)
+def _folded(rows: DataFrame, columns: Sequence[str], tag: int) -> DataFrame:
+    """(block, r): each partition's rows folded batch by batch into one upper factor."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = None
@@ -35,34 +31,55 @@ def tsqr(rows: DataFrame, columns: Sequence[str], fan_in: int = 32, width: int |
                 part = _matrix(batch)
                 r = np.linalg.qr(part if r is None else np.concatenate([r, part]), mode="r")
         if r is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f8").tobytes()], pa.binary())], ["r"])
+            yield pa.RecordBatch.from_arrays([pa.array([tag], pa.int32()), pa.array([r.astype("<f8").tobytes()], pa.binary())], ["block", "r"])
+
+    return rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(fold, "block int, r binary")
+
+
+def _merged(factors: DataFrame, widths: Sequence[int], fan_in: int) -> list[np.ndarray]:
+    """The upper factor of every block: a tree of streaming merges, one job for all blocks."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = None
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0):
-                part = np.frombuffer(x.as_py(), "<f8").reshape(-1, n)
-                r = part if r is None else np.linalg.qr(np.concatenate([r, part]), mode="r")
-        if r is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())], ["r"])
+            for tag, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(x, "<f8").reshape(-1, widths[tag])
+                known[tag] = np.linalg.qr(np.concatenate([known[tag], part]), mode="r") if tag in known else part
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([np.ascontiguousarray(r).tobytes() for r in known.values()], pa.binary())], ["block", "r"])
 
-    found = rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(fold, "r binary")
-    width = width or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while width > fan_in:
         width = -(-width // fan_in)
-        found = found.repartition(width).mapInArrow(merge, "r binary")
-    parts = [np.frombuffer(bytes(r[0]), "<f8").reshape(-1, n) for r in found.collect()]
-    return linalg.upper(np.concatenate(parts) if parts else np.zeros((0, n)))
+        factors = factors.repartition(width).mapInArrow(merge, "block int, r binary")
+    parts: list[list[np.ndarray]] = [[np.zeros((0, n))] for n in widths]
+    for tag, r in factors.collect():  # at most fan_in factors a block
+        parts[tag].append(np.frombuffer(bytes(r), "<f8").reshape(-1, widths[tag]))
+    return [linalg.upper(np.concatenate(p)) for p in parts]
+
+
+def tsqr(rows: DataFrame, columns: Sequence[str], fan_in: int = 32) -> np.ndarray:
+    """The upper factor of a tall matrix: every partition folds its batches into an n x n factor, a tree folds the factors.
+
+    A task holds one batch and one factor at a time; the driver gets at most fan_in factors.
+    """
+    return _merged(_folded(rows, columns, 0), [len(columns)], fan_in)[0]
 
 
-def upper_of_blocks(found: Sequence[Block], features: Sequence[str]) -> np.ndarray:
-    """R of the reduced matrix: each block by itself in its own width, then the small factors together."""
+def upper_of_blocks(found: Sequence[Block], features: Sequence[str], fan_in: int = 32) -> np.ndarray:
+    """R of the reduced matrix in one job: each block in its own width, then the small factors together."""
+    folded = None
+    for tag, b in enumerate(found):
+        part = _folded(b.rows, b.columns, tag)
+        folded = part if folded is None else folded.unionAll(part)
+    if folded is None:
+        return np.zeros((len(features), len(features)))
     stack = []
-    for b in found:
+    for b, small in zip(found, _merged(folded, [len(b.columns) for b in found], fan_in)):
         r = np.zeros((len(b.columns), len(features)))
-        r[:, [features.index(c) for c in b.columns]] = tsqr(b.rows, b.columns)
+        r[:, [features.index(c) for c in b.columns]] = small
         stack.append(r)
-    return linalg.upper(np.concatenate(stack) if stack else np.zeros((0, len(features))))
+    return linalg.upper(np.concatenate(stack))
 
 
 def gram_row(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

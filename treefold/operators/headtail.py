@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.tree import JoinTree, Node
-from .counts import NodeCounts, all_counts, keep
+from .counts import NodeCounts, all_counts
 
 SCALE = "__scale"
 
@@ -118,7 +118,7 @@ def blocks(tree: JoinTree, salts: int = 1, counts: dict[str, NodeCounts] | None
         else:
             own = node.df.groupBy(*node.keys).agg(F.sqrt(F.count("*")).alias(SCALE))
         features = node.subtree_features()
-        joined = keep(aggregate_away(own, node, below) if node.children else own, kept)
+        joined = aggregate_away(own, node, below) if node.children else own
         if set(node.parent_keys) == set(node.keys) and not node.is_root:
             return joined  # one row a key already
         keys = node.parent_keys

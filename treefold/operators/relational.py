@@ -55,6 +55,16 @@ def sort_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Random order that repeats for equal rows and seed, whatever the partitioning: by a hash of the row."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns)
+
+
+def alternate_features(features: Sequence[str], label: str) -> list[str]:
+    """Every other feature, for regression on a part of the columns; the label is never among them."""
+    return [f for f in features if f != label][::2]
+
+
 def top_fraction(df: DataFrame, fraction: float, order: Sequence[str] | None = None) -> DataFrame:
     """The floor(count * fraction) rows that come last by all columns."""
     n = math.floor(df.count() * fraction)

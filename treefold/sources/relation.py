@@ -131,6 +131,36 @@ class Database:
         for r, df in self.relations.items():
             self.relations[r] = df.drop(*names)
 
+    def save_tables(self, prefix: str = "") -> list[str]:
+        """Every relation as a table of the session's catalog; returns the names."""
+        names = []
+        for n, df in self.relations.items():
+            df.write.mode("overwrite").saveAsTable(f"{prefix}{n}")
+            names.append(f"{prefix}{n}")
+        return names
+
+    def load_table(self, table: str, name: str | None = None) -> DataFrame:
+        """A catalog table, under its own or another name."""
+        return self.add(name or table, self.spark.table(table))
+
+    def drop_tables(self, names: Iterable[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{n}`")
+
+    def config(self, name: str = "database") -> dict:
+        """The JSON schema of all relations, as from_config reads it."""
+        relations = [
+            {"name": s.name, "attributes": [{"name": a.name, "type": a.kind} for a in s.attributes], "primary_key": list(s.primary_key), "data_path": s.path}
+            for s in self.schemas.values()
+        ]
+        return {"database": {"name": name, "relations": relations}}
+
+    def memory_layout(self, layout: str) -> Database:
+        """Row, column or sparse order is Spark's own business: accepted and without effect on results."""
+        if layout not in ("row_major", "column_major", "sparse"):
+            raise ValueError(f"unknown layout {layout!r}")
+        return self
+
     def size(self, name: str) -> int:
         return self.relations[name].count()
 
