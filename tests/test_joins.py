@@ -39,7 +39,7 @@ def pairs(df, *names):
 
 
 def test_golden_counts(five):
-    c = counts.all_counts(JoinTree(SHAPE, five), [])
+    c = counts.all_counts(JoinTree(SHAPE, five))
     assert pairs(c["R4"].by_key, "X24", "down") == {1: 2, 2: 3, 3: 1}
     assert pairs(c["R4"].by_key, "X24", "circle") == {1: 35, 2: 32, 3: 8}
     assert pairs(c["R5"].by_parent, "X25", "up") == {1: 29, 2: 27, 3: 30}
@@ -64,14 +64,27 @@ def test_five_relations_all_ways(five):
     assert np.allclose(decompose.upper_factor(t, "cofactor"), want, atol=1e-8)
     assert np.allclose(factor.upper_of_blocks(headtail.blocks(t, salts=3), t.features), want, atol=1e-10)
     assert np.allclose(decompose.upper_factor(decompose.single(relational.materialise(t), features=t.features)), want, atol=1e-10)
-    s = decompose.svd(t)
-    assert np.allclose(s.sigma, np.linalg.svd(a, compute_uv=False))
-    q = decompose.qr(t, compute_q=True).rows
-    assert matrix.orthogonality(q, [f"q{i + 1}" for i in range(11)]) < 1e-10
-    p = np.array(decompose.pca(t, percent=30).rows.select("p1", "p2", "p3").collect(), float)
-    assert np.allclose(np.linalg.norm(p, axis=0), s.sigma[:3])
-    rooted = JoinTree(rooted_at(SHAPE, "R5"), five)
-    assert np.allclose(np.linalg.svd(decompose.upper_factor(rooted), compute_uv=False), s.sigma)
+
+
+def test_rows_of_a_join(five):
+    t = JoinTree(("R2", "R5", "R4"), five)
+    a = dense(t)
+    q = decompose.qr(t, compute_q=True, method="cofactor").rows
+    assert matrix.orthogonality(q, [f"q{i + 1}" for i in range(a.shape[1])]) < 1e-8
+    scores = decompose.pca(t, percent=30, factor="cofactor")
+    assert np.allclose(scores.sigma, np.linalg.svd(a, compute_uv=False))
+    p = np.array(scores.rows.select("p1", "p2").collect(), float)
+    assert np.allclose(np.linalg.norm(p, axis=0), scores.sigma[:2])
+    rooted = JoinTree(rooted_at(("R2", "R5", "R4"), "R5"), five)
+    assert np.allclose(np.linalg.svd(decompose.upper_factor(rooted, "cofactor"), compute_uv=False), scores.sigma)
+
+
+def test_hot_keys_are_salted(five, monkeypatch):
+    t = JoinTree(("R2", "R5", "R4"), five)
+    want = decompose.upper_factor(t)
+    monkeypatch.setattr(decompose, "SURELY_COLD", 0)
+    monkeypatch.setattr(decompose, "HOT_ROWS", 1)
+    assert np.allclose(decompose.upper_factor(t), want, atol=1e-10)
 
 
 def test_lu_of_a_join(five):
@@ -90,7 +103,7 @@ def test_lu_of_a_join(five):
     assert np.allclose(rows, sorted(map(tuple, np.round(a, 8).tolist())), atol=1e-7)
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_random_trees(spark, seed):
     """Composite keys, dangling rows, repeated rows, hot keys; factorised against materialised."""
     rng = np.random.default_rng(seed)
@@ -112,11 +125,11 @@ def test_random_trees(spark, seed):
     reduced = relational.reduce_fully(t)
     assert np.allclose(dense(reduced).T @ dense(reduced), d.T @ d)
     assert counts.join_size(t).first()[0] == len(d)
-    x = decompose.least_squares(t, t.features[2]).coefficients
+    x = decompose.least_squares(t, t.features[2], "cofactor").coefficients
     at = 2
     rest = [i for i in range(d.shape[1]) if i != at]
     assert np.allclose(list(x.values()), np.linalg.lstsq(d[:, rest], d[:, at], rcond=None)[0])
-    y = decompose.linear_regression(t, t.features[2]).coefficients
+    y = decompose.linear_regression(t, t.features[2], "cofactor").coefficients
     assert np.allclose(list(x.values()), list(y.values()))
 
 
@@ -138,7 +151,7 @@ def test_tree_rules(spark):
     with pytest.raises(ValueError, match="shares no attribute"):
         JoinTree(("A", "B"), {"A": df("a long"), "B": df("b long")})
     with pytest.raises(ValueError, match="not connected"):
-        JoinTree(("A", "B", "C"), {"A": df("k long, m long"), "B": df("k long, w long"), "C": df("m long, w long")})
+        JoinTree(("A", "B", ("D", "C")), {"A": df("k long, m long"), "B": df("k long, x double"), "D": df("m long, z long"), "C": df("z long, k long")})
     t = JoinTree(("A", "B"), {"A": df("k long, x double"), "B": df("k long, w double")})
     assert t.features == ["A__x", "B__w"] and t.root.parent_keys == ["k"]
     assert attributes_of(rooted_at(("A", ("B", "C")), "C")) == ["C", "B", "A"]

@@ -20,7 +20,9 @@ from .headtail import blocks
 from .rightmul import extreme_row, right_multiply
 
 #: Rows of one key from which heads and tails are made in salted groups.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 4_000_000
+#: Relations estimated below this many bytes cannot have such a key, so it is not looked for.
+SURELY_COLD = 4 * HOT_ROWS
 
 
 @dataclass
@@ -55,15 +57,22 @@ def upper_factor(tree: JoinTree, method: str = "heads_tails") -> np.ndarray:
             return linalg.cholesky_upper(g)
         except np.linalg.LinAlgError:
             pass  # without full rank only the orthogonal way is safe
-    kept: list[DataFrame] = []
+    if all(estimated_bytes(n.df) < SURELY_COLD for n in tree.nodes):
+        return upper_of_blocks(blocks(tree), tree.features)
+    kept: list[DataFrame] = []  # at such sizes the counts are worth keeping for both jobs
     try:
         counts = all_counts(tree, kept)
         top = max((r[0] or 0) for r in _union([c.by_key.agg(F.max("v").alias("v")) for c in counts.values()]).collect())
-        return upper_of_blocks(blocks(tree, max(1, int(top // HOT_ROWS)), counts, kept), tree.features)
+        return upper_of_blocks(blocks(tree, max(1, int(top // HOT_ROWS)), counts), tree.features)
     finally:
         release(kept)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -94,12 +94,12 @@ def aggregate_away(own: DataFrame, node: Node, below: dict[str, DataFrame]) -> D
     return joined.select(*node.keys, *cells, but("-").alias(SCALE))
 
 
-def blocks(tree: JoinTree, salts: int = 1, counts: dict[str, NodeCounts] | None = None, kept: list[DataFrame] | None = None) -> list[Block]:
+def blocks(tree: JoinTree, salts: int = 1, counts: dict[str, NodeCounts] | None = None) -> list[Block]:
     """The reduced matrix of a tree, block by block: tails, generalised tails, and the root's heads.
 
     Dangling rows drop out at the joins with the counts: all rows of a key share their fate.
     """
-    counts, out = counts or all_counts(tree, kept), []
+    counts, out = counts or all_counts(tree), []
 
     def visit(node: Node) -> DataFrame:
         below = {c.name: visit(c) for c in node.children}
@@ -134,9 +134,9 @@ def blocks(tree: JoinTree, salts: int = 1, counts: dict[str, NodeCounts] | None
     return out
 
 
-def generalised(tree: JoinTree, name: str, kept: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def generalised(tree: JoinTree, name: str) -> tuple[DataFrame, DataFrame]:
     """Generalised heads (parent keys, features, scale) and weighted generalised tails of one relation's subtree."""
-    counts = all_counts(tree, kept)
+    counts = all_counts(tree)
 
     def joined(node: Node) -> DataFrame:
         own = heads(node.df, node.keys, node.features)

@@ -203,12 +203,12 @@ def parent_down_counts(spark, sf_dir):
 
 @query(ctes("t4") + f", {_SUB}, d AS (SELECT nationkey, count(*) AS d FROM sub GROUP BY nationkey), f AS (SELECT nationkey, count(*) AS f FROM j GROUP BY nationkey) SELECT nationkey, CAST(f / d AS BIGINT) AS up FROM d JOIN f USING (nationkey)")
 def up_counts(spark, sf_dir):
-    return counts.all_counts(tree(spark, sf_dir, "t4"), [])["customer"].by_parent.select("nationkey", "up")
+    return counts.all_counts(tree(spark, sf_dir, "t4"))["customer"].by_parent.select("nationkey", "up")
 
 
 @query(ctes("t4") + ", v AS (SELECT nationkey, count(*) AS v FROM v_supplier GROUP BY nationkey), f AS (SELECT nationkey, count(*) AS f FROM j GROUP BY nationkey) SELECT nationkey, CAST(f / v AS BIGINT) AS circle FROM v JOIN f USING (nationkey)")
 def circle_counts(spark, sf_dir):
-    return counts.all_counts(tree(spark, sf_dir, "t4"), [])["supplier"].by_key.select("nationkey", "circle")
+    return counts.all_counts(tree(spark, sf_dir, "t4"))["supplier"].by_key.select("nationkey", "circle")
 
 
 @query(ctes("t4") + " SELECT count(*) AS join_rows FROM j")
@@ -248,7 +248,7 @@ def agg_away(spark, sf_dir):
 
 @query(_T4H + " SELECT nationkey, " + ", ".join(r9(f"sum(v * {a}) / sqrt(sum(v * v))", b, 5) for a, b in (("x", "c_acctbal"), ("y", "o_totalprice"))) + ", " + r9("sqrt(sum(v * v))", "scale", 5) + " FROM a WHERE nationkey IN (SELECT nationkey FROM j) GROUP BY nationkey")
 def gen_heads(spark, sf_dir):
-    h, _ = headtail.generalised(tree(spark, sf_dir, "t4"), "customer", [])
+    h, _ = headtail.generalised(tree(spark, sf_dir, "t4"), "customer")
     return rounded(h := h.withColumnRenamed(headtail.SCALE, "scale"), h.columns, 5)
 
 
@@ -263,7 +263,7 @@ SELECT nationkey, """
     + " FROM w JOIN u USING (nationkey) WHERE i > 1"
 )
 def gen_tails(spark, sf_dir):
-    _, t = headtail.generalised(tree(spark, sf_dir, "t4"), "customer", [])
+    _, t = headtail.generalised(tree(spark, sf_dir, "t4"), "customer")
     return rounded(t, t.columns, 5)
 
 
@@ -297,7 +297,7 @@ ws AS (SELECT *, row_number() OVER (PARTITION BY nationkey ORDER BY s_acctbal) A
 @query(_T2B + " SELECT " + r9("(c_acctbal * (i - 1) - b) / sqrt(i * (i - 1)) * sqrt(ks.v)", "c_acctbal") + ", 0.0 AS s_acctbal FROM wc JOIN ks USING (nationkey) WHERE i > 1 UNION ALL SELECT 0.0, " + r9("(s_acctbal * (i - 1) - b) / sqrt(i * (i - 1)) * sqrt(kc.v)", "s_acctbal") + " FROM ws JOIN kc USING (nationkey) WHERE i > 1 UNION ALL SELECT " + r9("kc.t / sqrt(kc.v) * sqrt(ks.v)", "c") + ", " + r9("ks.t / sqrt(ks.v) * sqrt(kc.v)", "s") + " FROM kc JOIN ks USING (nationkey)")
 def block_union(spark, sf_dir):
     t = tree(spark, sf_dir, "t2")
-    return rounded(headtail.block_union(headtail.blocks(t, kept=[]), t.features), t.features)
+    return rounded(headtail.block_union(headtail.blocks(t), t.features), t.features)
 
 
 # --- Gram matrices and upper factors ----------------------------------------------------------------------------------
