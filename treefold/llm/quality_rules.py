@@ -2,8 +2,8 @@
 
 The model is a mean of gram weights: word unigrams and bigrams and byte 4-grams fall into two hashed tables, a text's
 score is the bias and the mean weight of either kind of gram. It is fitted on at most ``max_train`` labelled rows (the
-lowest by a hash of doc_id; a documented bound, the only one), calibrated by a Platt sigmoid on a fifth of them that the
-fit does not see, and shipped to the executors as two fixed-size arrays. Scoring runs in Arrow batches over whole texts.
+lowest by a hash of doc_id; a documented bound, the only one) by one task, calibrated by a Platt sigmoid on a fifth of
+them that the fit does not see, and shipped to the executors as two fixed-size arrays. Scoring runs in Arrow batches over whole texts.
 
 Results for odd input: null and empty texts have zero counts and fail the base rules; null ids or labels are not trained
 on; without labels of both kinds the verdict is to keep; repeated rows get equal results; an empty table gives an empty
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textnum as tn
 
 TABLE_BITS = 16
-MAX_TRAIN = 4000
+MAX_TRAIN = 3000
 #: A text is kept if its calibrated probability of label 1 is at least this.
 KEEP_AT = 0.5
 MIN_WORDS = 50
@@ -150,33 +150,47 @@ def platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit_grams(rows: list[tuple[bytes, bytes, bytes, bytes, int]], steps: int = 120, rate: float = 0.3, decay: float = 1e-6) -> GramModel | None:
-    """Adam on the class-weighted log loss over sparse rows (slots and shares of either kind, label); None without both labels."""
+def fit_grams(rows: list[tuple[bytes, bytes, bytes, bytes, int]], epochs: int = 15, batch: int = 256, rate: float = 0.3, decay: float = 1e-6) -> GramModel | None:
+    """Adam in small batches on the class-weighted log loss over sparse rows (slots and shares of either kind, label).
+
+    Memory beyond the packed rows is that of one batch. None without both labels.
+    """
     label = np.array([r[4] for r in rows], float)
     if not len(label) or label.min() == label.max():
         return None
     held = np.arange(len(rows)) % 5 == 4
     if min(label[held].sum(), (1 - label[held]).sum(), label[~held].sum(), (1 - label[~held]).sum()) < 1:
         held = np.zeros(len(rows), bool)
-    kinds = []
-    for k in (0, 2):
-        slot = [np.frombuffer(r[k], "<u4") for r in rows]
-        doc = np.repeat(np.arange(len(rows)), [len(s) for s in slot])
-        kinds.append((np.concatenate(slot).astype(np.int64), doc, np.concatenate([np.frombuffer(r[k + 1], "<f4") for r in rows])))
     size = 1 << TABLE_BITS
     w, m, v = (np.zeros(2 * size + 1) for _ in range(3))
-    weight = np.where(label == 1, 0.5 / label[~held].sum(), 0.5 / (1 - label[~held]).sum()) * ~held
-
-    def scores() -> np.ndarray:
-        return w[-1] + sum(np.bincount(doc, w[i * size + slot] * share, len(rows)) for i, (slot, doc, share) in enumerate(kinds))
-
-    for t in range(1, steps + 1):
-        miss = (_sigmoid(scores()) - label) * weight
-        grad = np.concatenate([*(np.bincount(slot, miss[doc] * share, size) for slot, doc, share in kinds), [miss.sum()]]) + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    s, on = scores(), held if held.any() else np.ones(len(rows), bool)
-    slope, shift = platt(s[on], label[on])
+    fit = np.flatnonzero(~held)
+    weight = np.where(label == 1, 0.5 / label[fit].mean(), 0.5 / max(1 - label[fit].mean(), 1e-9))
+
+    def unpacked(at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        out = []
+        for k in (0, 2):
+            slot = [np.frombuffer(rows[i][k], "<u4") for i in at]
+            doc = np.repeat(np.arange(len(at)), [len(s) for s in slot])
+            out.append((np.concatenate(slot).astype(np.int64) + k // 2 * size, doc, np.concatenate([np.frombuffer(rows[i][k + 1], "<f4") for i in at])))
+        return out
+
+    def scores(kinds: list, n: int) -> np.ndarray:
+        return w[-1] + sum(np.bincount(doc, w[slot] * share, n) for slot, doc, share in kinds)
+
+    rng, t = np.random.Generator(np.random.PCG64(5)), 0
+    for _ in range(max(epochs, -(-60 * batch // len(fit)))):
+        for part in np.array_split(rng.permutation(fit), max(1, len(fit) // batch)):
+            kinds, t = unpacked(part), t + 1
+            miss = (_sigmoid(scores(kinds, len(part))) - label[part]) * weight[part] / len(part)
+            grad = decay * w
+            for slot, doc, share in kinds:
+                grad += np.bincount(slot, miss[doc] * share, len(w))
+            grad[-1] += miss.sum()
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    on = np.flatnonzero(held) if held.any() else fit
+    s = np.concatenate([scores(unpacked(part), len(part)) for part in np.array_split(on, -(-len(on) // batch))])
+    slope, shift = platt(s, label[on])
     return GramModel(float(w[-1]), (w[:size].astype(np.float32), w[size:-1].astype(np.float32)), slope, shift)
 
 
@@ -203,10 +217,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
                 )
                 at += len(part)
 
-    rows = sample.mapInArrow(sparse, "id long, a binary, b binary, c binary, d binary, y int").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["a"])))
-    rng = np.random.Generator(np.random.PCG64(3))
-    return fit_grams([tuple(rows[i])[1:] for i in rng.permutation(len(rows))])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((tuple(r) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:2])
+        rng = np.random.Generator(np.random.PCG64(3))
+        model = fit_grams([rows[i][1:] for i in rng.permutation(len(rows))])
+        if model is not None:
+            cells = [[model.bias], [model.slope], [model.shift], [model.tables[0].tobytes()], [model.tables[1].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["bias", "slope", "shift", "a", "b"])
+
+    # The sample is bounded, so one task can hold it; the driver gets the two tables alone.
+    found = sample.mapInArrow(sparse, "id long, a binary, b binary, c binary, d binary, y int").repartition(1)
+    for r in found.mapInArrow(fit, "bias double, slope double, shift double, a binary, b binary").collect():
+        return GramModel(r["bias"], tuple(np.frombuffer(bytes(r[c]), np.float32) for c in "ab"), r["slope"], r["shift"])
+    return None
 
 
 def judge(docs: DataFrame, model: GramModel | None, keep_at: float = KEEP_AT, text_col: str = "text") -> DataFrame:
