@@ -251,10 +251,11 @@ def crc(ids):
 def test_word_encoder_equals_the_library(name):
     from treefold.llm.tokenizing import WordEncoder, vocabulary
 
-    e, rng = WordEncoder(vocabulary(name), memo=500), random.Random(1)
+    e, rng = WordEncoder(vocabulary(name), memo=500, stretch=9), random.Random(1)
     bits = [*"abcABC dE  \n\n\t.,!'’st123éÉñßſΣσςİı中́\x1c\x85\xa0 <|>ﬁ١½", "'s", "'ll", " don't", "<|endoftext|>", "  ", "\r\n", "😀"]
-    for _ in range(4000):
+    for i in range(4000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
+        text = " ".join([text, "plain words", text]) if i % 3 == 0 else text
         assert e.encode(text) == np.array(e.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 

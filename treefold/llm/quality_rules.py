@@ -35,10 +35,12 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def per_text(marks: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sums of marks between consecutive edges."""
-    sums = np.zeros(len(marks) + 1, np.int64)
-    np.cumsum(marks, out=sums[1:])
-    return sums[edges[1:]] - sums[edges[:-1]]
+    """Sums of marks between consecutive edges, which run from 0 to the end."""
+    out = np.zeros(len(edges) - 1, np.int64)
+    some = edges[1:] > edges[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(marks, edges[:-1][some], dtype=np.int64)
+    return out
 
 
 def repeated_words(hashes: np.ndarray, first: np.ndarray, width: int = 3) -> np.ndarray:
@@ -84,21 +86,20 @@ def counts(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, hashes: np.
     ]
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(slot, text) of every word gram and of every byte gram."""
+def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, slots, texts) of all word grams (kind 0) and, stretch by stretch, of all byte grams (kind 1)."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     shift = np.uint64(64 - TABLE_BITS)
     two = np.flatnonzero(tn.inside(first, len(hashes), 2))
     pairs = tn.hash_windows(hashes, 2)[two] if len(two) else np.zeros(0, np.uint64)
-    word = np.concatenate([hashes >> shift, pairs >> shift]).astype(np.int64), np.concatenate([doc, doc[two]])
-    n = len(data) - 3
-    if n <= 0:
-        return [word, (np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    wide = data.astype(np.uint32)
-    four = (wide[:n] | wide[1 : n + 1] << 8 | wide[2 : n + 2] << 16 | wide[3 : n + 3] << 24) * np.uint32(0x9E3779B1)
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    whole = of[:n] == of[3:]
-    return [word, ((four >> np.uint32(32 - TABLE_BITS))[whole].astype(np.int64), of[:n][whole])]
+    yield 0, np.concatenate([hashes >> shift, pairs >> shift]).astype(np.int64), np.concatenate([doc, doc[two]])
+    for low in range(0, len(data) - 3, most):
+        wide = data[low : low + most + 3].astype(np.uint32)
+        n = len(wide) - 3
+        four = (wide[:n] | wide[1 : n + 1] << 8 | wide[2 : n + 2] << 16 | wide[3 : n + 3] << 24) * np.uint32(0x9E3779B1)
+        of = np.searchsorted(offsets, np.arange(low, low + n + 3), "right") - 1 if len(offsets) > 2 else np.zeros(n + 3, np.int64)
+        whole = of[:n] == of[3:]
+        yield 1, (four >> np.uint32(32 - TABLE_BITS))[whole].astype(np.int64), of[:n][whole]
 
 
 def parts(texts: pa.Array) -> Iterator[tuple]:
@@ -120,12 +121,12 @@ class GramModel:
     slope: float = 1.0
     shift: float = 0.0
 
-    def score(self, kinds: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-        out = np.full(n, self.bias)
-        for (slot, doc), table in zip(kinds, self.tables):
-            total = np.bincount(doc, table[slot], n)
-            out += total / np.maximum(np.bincount(doc, minlength=n), 1)
-        return out
+    def score(self, found: Iterator[tuple[int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        total, count = np.zeros((2, n)), np.zeros((2, n))
+        for kind, slot, doc in found:
+            total[kind] += np.bincount(doc, self.tables[kind][slot], n)
+            count[kind] += np.bincount(doc, minlength=n)
+        return self.bias + (total / np.maximum(count, 1)).sum(0)
 
     def probability(self, score: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -40, 40)))
@@ -206,8 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
             at = 0
             for part, data, offsets, hashes, first in parts(batch.column(1)):
                 cols = [[], [], [], []]
-                for k, (slot, doc) in enumerate(grams(data, offsets, hashes, first)):
-                    key, count = np.unique(doc << TABLE_BITS | slot, return_counts=True)
+                found = list(grams(data, offsets, hashes, first))
+                for k in range(2):
+                    slots = [doc << TABLE_BITS | slot for kind, slot, doc in found if kind == k]
+                    key, count = np.unique(np.concatenate([np.zeros(0, np.int64), *slots]), return_counts=True)
                     cut = np.searchsorted(key >> TABLE_BITS, np.arange(len(part) + 1))
                     for a, b in zip(cut[:-1], cut[1:]):
                         cols[2 * k].append((key[a:b] & ((1 << TABLE_BITS) - 1)).astype("<u4").tobytes())

@@ -40,12 +40,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends - sizes + 1)[: len(words) - shingle + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    digest, stops = xxhash.xxh64_intdigest, ends[shingle - 1 :].tolist()
     ones = np.zeros(64, np.int64)
-    for low in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[low : low + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    for low in range(0, len(starts), 1 << 16):
+        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[low : low + (1 << 16)], stops[low : low + (1 << 16)])], np.uint64)
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

@@ -7,6 +7,7 @@ fixed, so all workers agree.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +77,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     """A 64-bit hash of each span; spans in rising order without overlap."""
     out = np.empty(len(starts), np.uint64)
     low = 0
+    for i in np.flatnonzero(ends - starts > _STRETCH):  # a word that is a document of its own
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
     while low < len(starts):
+        if ends[low] - starts[low] > _STRETCH:
+            low += 1
+            continue
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + _STRETCH, "right")))
         a, b = int(starts[low]), int(ends[high - 1])
         up, down = powers(_BASES[which], b - a)

@@ -38,7 +38,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """encode(text) gives the ids as bytes (uint32, little-endian); equal to the library's encode without special tokens."""
 
-    def __init__(self, path: str, memo: int = 1_500_000):
+    def __init__(self, path: str, memo: int = 1_500_000, stretch: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -52,7 +52,7 @@ class WordEncoder:
             self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         else:
             self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.most = memo
+        self.most, self.stretch = memo, stretch
         self.parts = _Memo(self._part)
         self.seen: dict[str, bytes] = {}
         self.spaces = re.compile(f"[{SPACE}]+")
@@ -64,16 +64,40 @@ class WordEncoder:
         if self.lower:
             # str.split() also splits at four control characters, which the library takes for symbols.
             odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-            return b"".join(map(self.parts.__getitem__, self.spaces.split(text) if odd else text.split()))
-        head, *rest = text.split(" ")
-        if not rest:
-            return self._whole(text)
-        if not head or head[-1] in SPACE or any("\x1c" <= c <= "\x1f" for c in head):
-            return self._whole(text)  # white space at the very start may run on into the next part
+            out, at = [], 0
+            while at < len(text):  # one stretch, but for very long texts
+                cut = self._cut(text, at + self.stretch) if len(text) - at > self.stretch else len(text)
+                part = text[at:cut]
+                out.append(b"".join(map(self.parts.__getitem__, self.spaces.split(part) if odd else part.split())))
+                at = cut
+            return b"".join(out)
+        if len(text) <= self.stretch:
+            return self._run(text, True)
+        out, at, first = [], 0, True
+        while at < len(text):
+            cut = self._cut(text, at + self.stretch)
+            out.append(self._run(text[at:cut], first))
+            at, first = cut + 1, False  # the space at the cut belongs to the word after it
+        return b"".join(out)
+
+    def _cut(self, text: str, at: int) -> int:
+        """The next single space between two words, where a text can be cut; its end if there is none."""
+        while (at := text.find(" ", at)) >= 0:
+            if at + 1 < len(text) and text[at - 1] not in SPACE and text[at + 1] not in SPACE:
+                return at
+            at += 1
+        return len(text)
+
+    def _run(self, text: str, first: bool) -> bytes:
+        """Ids of a text, or of its part from a space on (which the part does not repeat)."""
+        head, *rest = text.split(" ") if first else ("", *text.split(" "))
+        whole = text if first else " " + text
+        if first and (not rest or not head or head[-1] in SPACE or any("\x1c" <= c <= "\x1f" for c in head)):
+            return self._whole(whole)  # white space at the very start may run on into the next part
         try:
             return b"".join(map(self._piece, self.pieces(head))) + b"".join(map(self.parts.__getitem__, rest))
         except TypeError:  # a None: some run of white space makes its parts depend on each other
-            return self._whole(text)
+            return self._whole(whole)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
@@ -86,22 +110,26 @@ class WordEncoder:
             if max(w) > LATIN_END or not unicodedata.is_normalized("NFC", w):
                 return self._whole(w)
             w = w.lower()
-            return self._piece(w) if w.isalpha() else b"".join(map(self._piece, self.pieces(w)))
+            return self._merge(w) if w.isalpha() else b"".join(map(self._piece, self.pieces(w)))
         if not w or w[0] in SPACE:
             return None
         if w.isascii() and w.isalpha():
-            return self._piece(" " + w)
+            return self._merge(" " + w)
         if any("\x1c" <= c <= "\x1f" for c in w):
             return self._whole(" " + w)
         return b"".join(map(self._piece, self.pieces(" " + w)))
 
     def _piece(self, p: str) -> bytes:
-        got = self.seen.get(p)
-        if got is None:
-            word = p.encode().decode("latin-1").translate(self.letters)
-            got = self.seen[p] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        """Ids of one piece: known as a part of its own, known as a piece, or new."""
+        got = self.parts.get(p if self.lower else p[1:] if p[0] == " " else "")
+        if got is None and (got := self.seen.get(p)) is None:
+            got = self.seen[p] = self._merge(p)
         return got
 
+    def _merge(self, p: str) -> bytes:
+        word = p.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+
 
 class _Memo(dict):
     """Works out what it does not hold yet."""
