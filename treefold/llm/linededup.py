@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WORD_SPACE, ascii_lower, delete, hash128, order_id, scratch
+from .base import WORD_SPACE, ascii_lower, delete, hash128, order_id, scratch, written
 
 #: Keys shorter than this are never dropped (code points).
 MIN_KEY = 10
@@ -138,5 +138,6 @@ def dedup_lines(docs: DataFrame, n_batches: int = 4, fanout: int = 2, min_key: i
         part = part if high is None else part.where(ident <= high)
         shared.append(store.add(part, **names))
     # A key may have become shared in several batches; its owner is the same in each.
+    # It is written so that both sides of the next join are plain exchanges, which adaptive execution splits at a hot line.
     all_shared = reduce(DataFrame.unionAll, shared).groupBy(*KEY).agg(F.min("__owner").alias("__owner"))
-    return drop_lines(docs, all_shared, **names)
+    return drop_lines(docs, written(all_shared, "shared"), **names)
