@@ -1,6 +1,6 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into whole windows of ``capacity`` ids and a rest; a rest above ``longest`` is halved, so that
+A document's ids are cut into whole windows of ``capacity`` ids and a rest; a rest above ``longest`` is cut evenly, so that
 every window gets several pieces. Rests are packed in groups of at most ``group`` pieces: each piece starts as a partial
 partition of its own, and the two partitions with the widest spread are merged with opposing imbalances, largest sums on
 smallest, until one is left, whose windows are near-equal. The window count starts at the least that could hold the
@@ -151,7 +151,7 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 PIECE_SCHEMA = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")])
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = 1024, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = 1024, longest: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of a document: where it starts there, its sequence and offset, and its ids (uint32, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
