@@ -85,6 +85,10 @@ def test_hot_keys_are_salted(five, monkeypatch):
     monkeypatch.setattr(decompose, "SURELY_COLD", 0)
     monkeypatch.setattr(decompose, "HOT_ROWS", 1)
     assert np.allclose(decompose.upper_factor(t), want, atol=1e-10)
+    monkeypatch.setattr(factor, "LARGE", 0)
+    assert np.allclose(decompose.upper_factor(t, "auto"), want, atol=1e-8)
+    monkeypatch.setattr(decompose, "MOST_CONDITION", 0)
+    assert np.allclose(decompose.upper_factor(t, "auto"), want, atol=1e-10)
 
 
 def test_lu_of_a_join(five):

@@ -20,7 +20,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("query")
     p.add_argument("--base", help="folder that relative data paths start from")
     p.add_argument("--method", choices=["divide_and_conquer", "qr_iter", "power_iter", "eigen"])
-    p.add_argument("--factor", choices=["heads_tails", "cofactor"], default="heads_tails")
+    p.add_argument("--factor", choices=["heads_tails", "cofactor", "auto"], default="heads_tails")
     p.add_argument("--percent", type=float, default=100.0)
     p.add_argument("--iterations", type=int, default=10_000)
     p.add_argument("--compute-all", action="store_true", default=None)

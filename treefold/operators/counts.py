@@ -36,6 +36,23 @@ def release(kept: list[DataFrame]) -> None:
         kept.pop().unpersist()
 
 
+#: Relations estimated below this many bytes are joined without regard to hot keys.
+LARGE = 16_000_000
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, large: bool = True) -> DataFrame:
+    """An aggregate, dealt out once more, so that the join above it stands on two plain exchanges.
+
+    Adaptive execution splits the hot partitions of such a join only; directly on an aggregate it cannot.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if large else df
+
+
 def multiplicity(node: Node) -> DataFrame:
     """Distinct join keys and how many rows have each."""
     return node.df.groupBy(*node.keys).agg(F.count("*").alias("v"))

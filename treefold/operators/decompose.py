@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..plans.tree import JoinTree
-from .counts import all_counts, release
+from .counts import LARGE, all_counts, estimated_bytes, release
 from .factor import factorised_gram, gram, tsqr, upper_of_blocks
 from .headtail import blocks
 from .rightmul import extreme_row, right_multiply
@@ -22,7 +22,7 @@ from .rightmul import extreme_row, right_multiply
 #: Rows of one key from which heads and tails are made in salted groups.
 HOT_ROWS = 4_000_000
 #: Relations estimated below this many bytes cannot have such a key, so it is not looked for.
-SURELY_COLD = 4 * HOT_ROWS
+SURELY_COLD = LARGE
 
 
 @dataclass
@@ -40,13 +40,21 @@ class Factors:
     rows: DataFrame | None = None
 
 
+#: Beyond this condition number "auto" takes the orthogonal way.
+MOST_CONDITION = 1e4
+
+
 def single(df: DataFrame, name: str = "A", keys: Sequence[str] = (), features: Sequence[str] | None = None) -> JoinTree:
     """One materialised relation as a tree without joins."""
     return JoinTree(name, {name: df.select(*(features or [c for c in df.columns if c not in keys]))})
 
 
 def upper_factor(tree: JoinTree, method: str = "heads_tails") -> np.ndarray:
-    """R of the join. heads_tails: orthogonal throughout; cofactor: Gram and Cholesky, faster, squares the condition number."""
+    """R of the join. heads_tails: orthogonal throughout; cofactor: Gram and Cholesky, faster, squares the condition number;
+    auto: cofactor, and heads_tails where the condition number says that cofactor has lost more than half of its digits."""
+    if method == "auto":
+        r = upper_factor(tree, "cofactor")
+        return r if linalg.condition_number(r) < MOST_CONDITION else upper_factor(tree)
     if not tree.root.children:
         rows = tree.root.df
         return linalg.cholesky_upper(gram(rows, tree.features)) if method == "cofactor" else tsqr(rows, tree.features)
@@ -68,11 +76,6 @@ def upper_factor(tree: JoinTree, method: str = "heads_tails") -> np.ndarray:
         release(kept)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate; nothing runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

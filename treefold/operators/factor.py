@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..plans.tree import JoinTree, Node
+from .counts import LARGE, estimated_bytes, spread
 from .headtail import Block
 
 #: Up to this many features a Gram matrix is one row of sums; beyond, partitions add up matrices in numpy.
@@ -119,7 +120,7 @@ def cofactors(tree: JoinTree) -> DataFrame:
     """A'A of the natural join as one row g_i_j, by counts, sums and sums of products pushed through the tree.
 
     Each relation is grouped by its parent keys before it meets its parent, so no join ever has more rows than the
-    relation above it; hot keys are summed on the map side first. Everything stays in generated JVM code.
+    relation above it; hot keys are summed on the map side first, and in large relations split by the join. Everything stays in generated JVM code.
     """
 
     def up(node: Node) -> tuple[DataFrame, list[str]]:
@@ -127,7 +128,7 @@ def cofactors(tree: JoinTree) -> DataFrame:
         rows = node.df.select(*node.keys, F.lit(1.0).alias("__c"), *[F.col(x).alias(f"s|{x}") for x in f], *[(F.col(x) * F.col(y)).alias(f"q|{x}|{y}") for i, x in enumerate(f) for y in f[i:]])
         for child in node.children:
             below, g = up(child)
-            rows = _product(rows, f, below, g, child.parent_keys, node.keys)
+            rows = _product(rows, f, spread(below, estimated_bytes(node.df) >= LARGE), g, child.parent_keys, node.keys)
             f += g
         keys = [] if node.is_root else node.parent_keys
         sums = [F.sum(F.col(f"`{c}`")).alias(c) for c in rows.columns if c not in node.keys]

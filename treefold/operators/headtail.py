@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.tree import JoinTree, Node
-from .counts import NodeCounts, all_counts
+from .counts import NodeCounts, all_counts, spread
 
 SCALE = "__scale"
 
@@ -69,10 +69,10 @@ def weighted_tails(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     return ranked.where("__i > 1").select(*keys, *cells)
 
 
-def _times(rows: DataFrame, keys: Sequence[str], weights: DataFrame, column: str, features: Sequence[str]) -> DataFrame:
+def _times(rows: DataFrame, keys: Sequence[str], weights: DataFrame, column: str, features: Sequence[str], hot: bool = False) -> DataFrame:
     """rows' features times the root of a count that is joined on by key."""
     root = F.sqrt(F.col(column))
-    return rows.join(weights.select(*keys, column), list(keys)).select(*keys, *[(F.col(f) * root).alias(f) for f in features])
+    return rows.join(spread(weights.select(*keys, column), hot), list(keys)).select(*keys, *[(F.col(f) * root).alias(f) for f in features])
 
 
 def aggregate_away(own: DataFrame, node: Node, below: dict[str, DataFrame]) -> DataFrame:
@@ -114,7 +114,7 @@ def blocks(tree: JoinTree, salts: int = 1, counts: dict[str, NodeCounts] | None
                 both = inner.unionByName(weighted_tails(part, keys, node.features))
             else:
                 own, both = heads(rows, keys, node.features), tails(rows, keys, node.features)
-            out.append(Block(f"tail_{node.name}", node.features, _times(both, keys, c.by_key, "circle", node.features)))
+            out.append(Block(f"tail_{node.name}", node.features, _times(both, keys, c.by_key, "circle", node.features, salts > 1)))
         else:
             own = node.df.groupBy(*node.keys).agg(F.sqrt(F.count("*")).alias(SCALE))
         features = node.subtree_features()

@@ -378,6 +378,11 @@ def qr_r_deep(spark, sf_dir):
     return cells_row(spark, decompose.upper_factor(tree(spark, sf_dir, "t4")), "r", digits=4)
 
 
+@query(_chol_sql("t4", ["c_acctbal", "o_totalprice", "s_acctbal"], 4))
+def qr_r_deep_auto(spark, sf_dir):
+    return cells_row(spark, decompose.upper_factor(tree(spark, sf_dir, "t4"), "auto"), "r", digits=4)
+
+
 @query(_CHOL2 + " SELECT nationkey, " + r9("c_acctbal / r11", "q1", 8) + ", " + r9("(s_acctbal - c_acctbal / r11 * r12) / r22", "q2", 8) + " FROM j CROSS JOIN r")
 def qr_q_factorized(spark, sf_dir):
     q = decompose.qr(tree(spark, sf_dir, "t2"), compute_q=True).rows
