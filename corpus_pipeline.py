@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treefold.llm.base import order_id, scratch
+from treefold.llm.base import order_id, scratch, written
+from treefold.llm.jaccard import drop_similar
 from treefold.llm.linededup import dedup_lines
 from treefold.llm.mixing import mix_sources
 from treefold.llm.packing import pack_documents
@@ -46,6 +47,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return ranked.dropDuplicates(["__id"]).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What SimHash links goes first; then of pairs of similarity 0.8 or more over five-word shingles, which it mostly misses."""
+    return drop_similar(written(drop_near_duplicates(spark, docs, sf_dir), "simhash-kept"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and of one more copy the words that its blocks hold."""
     plan = mix_sources(docs).select(
@@ -73,7 +79,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", keep_quality),
     ("line dedup", drop_repeated_lines),
-    ("near dedup", drop_near_duplicates),
+    ("near dedup", near_dedup),
     ("mix sources", mix),
     ("pack", pack),
 ]

@@ -75,5 +75,23 @@ def hash128(value: Column) -> tuple[Column, Column]:
     return F.xxhash64(value), F.xxhash64(F.lit("second"), value)
 
 
+#: Columns of with_row_keys: rows that share all four are one row several times.
+ROW_KEYS = ("__id", "__t1", "__t2", "__row")
+
+
+def with_row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with ROW_KEYS: the ordered id, two hashes of the text and one of everything else."""
+    t1, t2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c not in (id_col, text_col)]
+    other = F.xxhash64(*rest, F.col(text_col).isNull(), F.col(id_col).isNull())
+    return docs.withColumns({"__id": order_id(F.col(id_col)), "__t1": t1, "__t2": t2, "__row": other})
+
+
+def least_rows(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each group of grouped (ROW_KEYS, root) the row of keyed with the least keys: least id (null last), then hashes."""
+    leaders = grouped.groupBy("root").agg(F.min(F.struct(*ROW_KEYS)).alias("first")).select("first.*")
+    return keyed.join(leaders, list(ROW_KEYS), "left_semi").dropDuplicates(list(ROW_KEYS)).drop(*ROW_KEYS)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
