@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treefold.llm.base import order_id, scratch, written
+from treefold.llm.base import ROW_KEYS, least_rows, order_id, scratch, with_row_keys, written
 from treefold.llm.jaccard import drop_similar
 from treefold.llm.linededup import dedup_lines
 from treefold.llm.mixing import mix_sources
 from treefold.llm.packing import pack_documents
 from treefold.llm.quality_rules import quality_rules
-from treefold.llm.simhash import near_duplicates
+from treefold.llm.simhash import components, fingerprints, links
 from treefold.llm.tokenizing import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,11 +40,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    leaders = near_duplicates(docs).where("doc_id <=> component_id").select(order_id(F.col("doc_id")).alias("__id")).distinct()
-    ranked = docs.select(*COLUMNS, order_id(F.col("doc_id")).alias("__id")).join(leaders, "__id", "left_semi")
-    # Rows that share an id are copies of one document.
-    return ranked.dropDuplicates(["__id"]).select(*COLUMNS)
+    """One document of each near-duplicate group: the one with the smallest id; of equal or null ids, with the least hashes."""
+    keyed = with_row_keys(docs.select(*COLUMNS))
+    prints = written(fingerprints(keyed, keep=ROW_KEYS), "prints")
+    root = components(links(prints.select("fp").distinct())).withColumnRenamed("a", "fp")
+    return least_rows(keyed, prints.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

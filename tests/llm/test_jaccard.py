@@ -84,3 +84,21 @@ def test_odd_texts_and_empty_table(spark):
     assert sorted(r["doc_id"] for r in got) == [10, 13, 15, 16, 17]
     assert cp.near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
 
+
+
+def test_rows_without_or_with_one_id_are_not_cut_to_one(spark, edited):
+    import corpus_pipeline as cp
+
+    # Different texts without an id, different texts of one id, and a copy of each; the last row is there twice.
+    apart = edited[::4]
+    rows = [(None, t, "en", "s", 1) for t in apart[:12]] + [(7, t, "en", "s", 1) for t in apart[12:20]] + [(i, t, "en", "s", 1) for i, t in enumerate(apart[20:25], 100)]
+    rows += [(None, t + " end", "en", "s", 1) for t in apart[8:25:2]] + [(500 + i, t + " end", "de", "s", 1) for i, t in enumerate(apart[:3])] + [rows[-1]]
+    root = slow_groups([t for _, t, *_ in rows])
+    groups = collections.defaultdict(list)
+    for r, row in zip(root, rows):
+        groups[r].append(row)
+    runs = [[tuple(r) for r in cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(n), "").collect()] for n in (1, 5)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+    assert len(runs[0]) == len(groups) == 25
+    assert collections.Counter(order(i) for i, *_ in runs[0]) == collections.Counter(min(order(i) for i, *_ in g) for g in groups.values())
+    assert all(sum(row in g for row in runs[0]) == 1 for g in groups.values())
