@@ -1,9 +1,10 @@
-"""Mixing sources to target weights: Sainte-Lague quotas of equal-token blocks, then a seeded choice of blocks.
+"""Mixing sources to target weights: Sainte-Lague quotas, then a seeded choice of equal-token blocks.
 
 1. One pass counts words; (source, shard) sums go to the driver: at most ``max_shards`` rows a source, however many
    documents there are. Shards are dealt by a hash of the document, so a hot source has many.
 2. Targets: each source's share by weight, stopped at ``max_repeat`` times its size, the excess reshared (water filling).
-3. Blocks of ``block`` words go to the sources by highest quotients target / (2k + 1), then to a source's shards likewise.
+3. Words go to the sources by highest quotients target / (2k + 1), then to a source's shards likewise: whole blocks of
+   ``block`` words and a last partial one, so that a source smaller than a block comes to its target as well.
 4. Each shard lays its documents out in a seeded order; its quota takes whole rounds of all of them and, for the rest,
    an arc of blocks with a seeded start. A document's take is its size times the rounds plus its overlap with the arc.
 
@@ -115,16 +116,16 @@ def mix_sources(
     block = max(1, min(max_block, total // 65536))
     per = np.array([weights[i % len(weights)] for i in range(len(names))], float)
     target = water_fill(sizes, per, max_repeat) if total else np.zeros(len(names))
-    given = sainte_lague(target, total // block, max_repeat * sizes // block)
+    given = sainte_lague(target, total, max_repeat * sizes)
 
     rows = []
     for s in range(len(names)):
         shards = int(min(max_shards, max(1, sizes[s] // (block * blocks_per_shard))))
         mine = at == s
         held = np.bincount(sums["__fine"].to_numpy()[mine] * shards // max_shards, n[mine], shards).astype(np.int64)
-        quota = sainte_lague(held, int(given[s]), max_repeat * held // block)
+        quota = sainte_lague(held, int(given[s]), max_repeat * held)
         for k in range(shards):
-            passes, rest = divmod(int(quota[k]) * block, int(held[k])) if held[k] else (0, 0)
+            passes, rest = divmod(int(quota[k]), int(held[k])) if held[k] else (0, 0)
             rows.append((names[s], shards, k, int(held[k]), int(sizes[s]), float(target[s]), passes, rest))
     plan = spark.createDataFrame(
         rows,
