@@ -84,9 +84,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .base import written
     from .media import payload_digests, texts_as_media
 
-    return payload_digests(texts_as_media(table(spark, sf_dir, "documents")))
+    return payload_digests(written(texts_as_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
