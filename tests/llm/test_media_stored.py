@@ -12,3 +12,14 @@ def test_media_bytes_are_stored_and_reread(spark, tmp_path):
     assert files and not any("documents.parquet" in f for f in files)
     assert {"doc_id", "n_bytes", "media"} == set(spark.read.parquet(*files).columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, payload_digests(texts_as_media(docs)).collect()))
+
+
+def test_fragmented_files_are_not_taken_for_empty_ones(spark):
+    from treefold.llm import media as m
+
+    stbl = m.box(b"stbl", *(m.full_box(k, bytes(4)) for k in (b"stts", b"stsc", b"stco")), m.full_box(b"stsz", bytes(8)))
+    moov = m.box(b"moov", m.box(b"trak", m.box(b"mdia", m.box(b"minf", stbl))), m.box(b"mvex"))
+    moof = m.box(b"moof", m.box(b"traf", m.full_box(b"tfhd", bytes(4)), m.full_box(b"trun", (1).to_bytes(4, "big"))))
+    file = m.box(b"ftyp", b"isom") + moov + moof + m.box(b"mdat", b"frames")
+    (row,) = m.media_columns(spark.createDataFrame([(file,)], "media binary")).collect()
+    assert row["tracks"] is None and "fragments" in row["error"]

@@ -6,7 +6,8 @@ range of each key frame. ``write_raw_track`` is the writer for payloads that are
 uncompressed grey video track of 8 x 8 frames, one frame a sample, a key frame at the start of every group of frames.
 
 Results for odd input: null or empty text is a payload of 64 zero bytes; null media, or bytes that are not ISO media or
-are cut short, give a null probe with the reason in ``error``; equal texts give equal media; an empty table gives an
+are cut short, give a null probe with the reason in ``error``, and so do files with movie fragments (moof), whose sample runs
+are not read; equal texts give equal media; an empty table gives an
 empty table; other columns are kept by ``media_columns`` unless they clash with its names.
 """
 
@@ -179,6 +180,8 @@ def probe(data: bytes) -> list[Track]:
     for path, a, b in walk(view):
         kind = path[-1]
         known |= path in ((b"ftyp",), (b"moov",))
+        if kind == b"moof":
+            raise MediaError("sample runs of movie fragments are not read")
         if kind == b"trak":
             tracks.append(Track())
         elif b"trak" not in path:
