@@ -3,7 +3,10 @@
 Both vocabularies split a text before they merge anything, so a text's ids are those of its space-separated parts put
 together. A worker remembers the ids of parts (as packed little-endian uint32) and of the pieces inside parts; only
 unseen pieces reach the library's BPE model. Whatever the split cannot be proven for (runs of white space, letters
-outside Latin) goes through the library's full encoder instead. Memory is bounded: a memo that is full starts anew.
+outside Latin) goes through the library's full encoder instead. Added tokens that a text spells out (such as
+<|endoftext|>) get their own ids, as the library gives them; the text between them is encoded stretch by stretch.
+
+Memory is bounded: parts above LONG characters are not remembered, and a memo that has used up its bytes starts anew.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ import regex
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: The last code point of Latin Extended-B; beyond it the word vocabulary's own normaliser decides.
 LATIN_END = "ɏ"
+#: Parts above this many characters are rarely met again and are not remembered.
+LONG = 64
+#: About what an entry of a memo takes beside its key and its ids.
+ENTRY_BYTES = 200
 
 
 def vocabulary(name: str) -> str:
@@ -36,13 +43,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """encode(text) gives the ids as bytes (uint32, little-endian); equal to the library's encode without special tokens."""
+    """encode(text) gives the ids as bytes (uint32, little-endian); equal to the library's encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str, memo: int = 1_500_000, stretch: int = 1 << 20):
+    def __init__(self, path: str, memo_bytes: int = 256 << 20, stretch: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lower = spec["normalizer"] is not None  # the word vocabulary normalises and drops white space
@@ -52,15 +58,27 @@ class WordEncoder:
             self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         else:
             self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.most, self.stretch = memo, stretch
+        self.most, self.stretch = memo_bytes, stretch
         self.parts = _Memo(self._part)
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Memo(self._merge)
         self.spaces = re.compile(f"[{SPACE}]+")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        # Tokens that also take in what stands beside them, or that are met after normalising, are left to the library.
+        self.plain_added = not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def encode(self, text: str) -> bytes:
-        if len(self.parts) > self.most or len(self.seen) > self.most:
+        if self.parts.size + self.seen.size > self.most:
             self.parts.clear()
             self.seen.clear()
+        if any(t in text for t in self.added):
+            if not self.plain_added:
+                return self._whole(text)
+            return b"".join(self.added[s] if i % 2 else self._between(s) for i, s in enumerate(self.at_added(text)))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if self.lower:
             # str.split() also splits at four control characters, which the library takes for symbols.
             odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -122,9 +140,7 @@ class WordEncoder:
     def _piece(self, p: str) -> bytes:
         """Ids of one piece: known as a part of its own, known as a piece, or new."""
         got = self.parts.get(p if self.lower else p[1:] if p[0] == " " else "")
-        if got is None and (got := self.seen.get(p)) is None:
-            got = self.seen[p] = self._merge(p)
-        return got
+        return self.seen[p] if got is None else got
 
     def _merge(self, p: str) -> bytes:
         word = p.encode().decode("latin-1").translate(self.letters)
@@ -132,16 +148,23 @@ class WordEncoder:
 
 
 class _Memo(dict):
-    """Works out what it does not hold yet."""
+    """Works out what it does not hold yet, and counts the bytes of what it remembers."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, 0
 
     def __missing__(self, key):
-        got = self[key] = self.make(key)
+        got = self.make(key)
+        if len(key) <= LONG:
+            self[key] = got
+            self.size += ENTRY_BYTES + 2 * len(key) + len(got or b"")
         return got
 
+    def clear(self):
+        super().clear()
+        self.size = 0
+
 
 _encoders: dict[str, WordEncoder] = {}
 
