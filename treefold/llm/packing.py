@@ -1,18 +1,19 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into whole windows of ``capacity`` ids and a rest; a rest above ``longest`` is cut evenly, so that
-every window gets several pieces. Rests are packed in groups of at most ``group`` pieces: each piece starts as a partial
-partition of its own, and the two partitions with the widest spread are merged with opposing imbalances, largest sums on
-smallest, until one is left, whose windows are near-equal. The window count starts at the least that could hold the
-group and rises while a window exceeds the capacity. The few ids that a group's last window cannot share out (at the end
-of a partition) leave in windows whose lengths are powers of two, which need no padding.
+A document's ids are cut into whole windows of ``capacity`` ids and a rest, which stays in one piece. Pieces are packed in
+groups of ``group``: each starts as a partial partition of its own, and the two partitions with the widest spread are merged
+with opposing imbalances, largest sums on smallest, until one is left, whose windows are near-equal. The window count starts
+at the least that could hold the group and rises by one whenever a window exceeds the capacity. Only where that would pad
+more than ``waste`` of a group (many pieces just above half a window) are its largest pieces cut in two and packed anew.
 
-Groups form as a partition's rows stream by: no shuffle, memory bounded by one group, and a lost task repeats exactly.
-Sequence ids hold the partition's number above SEQUENCE_BITS bits and a counter below.
+Groups form as a partition's rows stream by, without a shuffle. What a partition has left at its end, less than a group, is
+stored with the packed windows and packed by the same rule in a second, small pass over all partitions' remainders. A task
+holds one group of pieces and one document; a lost task repeats exactly. Sequence ids hold the pass and the partition's
+number above SEQUENCE_BITS bits and a counter below.
 
 Results for odd input: null and empty texts have the end id alone; repeated rows and equal ids are separate documents;
-null ids stay null; very long texts become many whole windows; an empty table gives an empty table; other columns are
-ignored.
+null ids stay null; very long texts become many whole windows, written out as they come; an empty table gives an empty
+table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import written
 from .tokenizing import encoder
 
 CAPACITY = 4096
@@ -71,128 +73,114 @@ def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
     return label[:n]
 
 
-def pack_group(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each piece; the window count rises until no window exceeds the capacity."""
+def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, most: int | None = None) -> np.ndarray | None:
+    """The window of each piece; the window count rises while a window exceeds the capacity; None if ``most`` are too few."""
     windows = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
+    while most is None or windows <= most:
         found = differencing(sizes, windows)
         if np.bincount(found, sizes, windows).max(initial=0) <= capacity:
             return found
         windows += 1
-
-
-def split_rest(n: int, longest: int) -> list[int]:
-    """Lengths of the near-equal cuts of a rest, none above longest."""
-    k = max(1, -(-n // longest))
-    return [n // k + (i < n % k) for i in range(k)]
-
-
-def carve(pieces: list[tuple], want: int) -> tuple[list[tuple], list[tuple]]:
-    """Split (document, start, length) pieces into those that stay and exactly ``want`` ids from the end of the list."""
-    stay, gone = list(pieces), []
-    while want:
-        doc, start, n = stay.pop()
-        took = min(n, want)
-        if took < n:
-            stay.append((doc, start, n - took))
-        gone.append((doc, start + n - took, took))
-        want -= took
-    return stay, gone[::-1]
-
-
-def fill_powers(pieces: list[tuple]) -> list[list[tuple]]:
-    """Windows whose lengths are the powers of two that make up the pieces' total, filled to the last id."""
-    total = sum(n for _, _, n in pieces)
-    queue, windows = list(pieces)[::-1], []
-    for bit in range(total.bit_length() - 1, -1, -1):
-        if not total >> bit & 1:
-            continue
-        room, window = 1 << bit, []
-        while room:
-            doc, start, n = queue.pop()
-            took = min(n, room)
-            window.append((doc, start, took))
-            if took < n:
-                queue.append((doc, start + took, n - took))
-            room -= took
-        windows.append(window)
-    return windows
-
-
-def pack_pieces(pieces: list[tuple], capacity: int = CAPACITY, last: bool = False, waste: float = 0.005) -> list[list[tuple]]:
-    """Windows of (document, start, length) pieces. The last group of a partition leaves its odd ids to powers of two."""
-    total = sum(n for _, _, n in pieces)
-    whole, odd = divmod(total, capacity)
-    extra: list[list[tuple]] = []
-    if last and odd and capacity - odd > waste * total:
-        if not whole:
-            return fill_powers(pieces)
-        slack = max(16, int(waste * total))
-        while odd + slack < capacity:
-            stay, gone = carve(pieces, odd + slack)
-            found = differencing(np.array([n for _, _, n in stay], np.int64), whole)
-            if np.bincount(found, [n for _, _, n in stay], whole).max() <= capacity:
-                pieces, extra = stay, fill_powers(gone)
-                break
-            slack *= 2
-        else:
-            found = None
-    else:
-        found = None
-    if found is None:
-        found = pack_group(np.array([n for _, _, n in pieces], np.int64), capacity)
-    windows: list[list[tuple]] = [[] for _ in range(int(found.max()) + 1)] if len(pieces) else []
+    return None
+
+
+def pack_pieces(pieces: list[tuple], capacity: int = CAPACITY, waste: float = 0.03) -> list[list[tuple]]:
+    """Windows of (document, start, length) pieces, each of at most ``capacity`` ids."""
+    least = max(1, -(-sum(n for _, _, n in pieces) // capacity))
+    longest, found = capacity, None
+    while found is None:
+        found = pack_group(np.array([n for _, _, n in pieces], np.int64), capacity, least + max(1, int(waste * least)))
+        if found is None:  # whole pieces would pad too much
+            longest = max(1, longest // 2)
+            pieces = [part for piece in pieces for part in cut_evenly(piece, longest)]
+    windows: list[list[tuple]] = [[] for _ in range(int(found.max(initial=-1)) + 1)]
     for piece, w in zip(pieces, found.tolist()):
         windows[w].append(piece)
-    return [w for w in windows if w] + extra
+    return [w for w in windows if w]
+
+
+def cut_evenly(piece: tuple, longest: int) -> list[tuple]:
+    """A piece as near-equal pieces, none above ``longest``."""
+    doc, start, n = piece
+    k = -(-n // longest)
+    edges = [start + n * i // k for i in range(k + 1)]
+    return [(doc, a, b - a) for a, b in zip(edges[:-1], edges[1:])]
 
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 PIECE_SCHEMA = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")])
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = 1024, longest: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE_SCHEMA)], schema=PIECE_SCHEMA)
+
+
+class _Packer:
+    """Collects the pieces (document, start, length) of documents (id, ids in all, first id kept, kept ids) and packs full groups."""
+
+    def __init__(self, capacity: int, group: int, first_sequence: int):
+        self.capacity, self.group, self.sequence = capacity, group, first_sequence
+        self.pending: list[tuple] = []
+
+    def add(self, piece: tuple) -> list[tuple]:
+        """The rows that the piece completes."""
+        self.pending.append(piece)
+        return self.flush() if len(self.pending) >= self.group else []
+
+    def flush(self) -> list[tuple]:
+        windows, self.pending = pack_pieces(self.pending, self.capacity) if self.pending else [], []
+        return [row for window in windows for row in self.rows(window)]
+
+    def rows(self, window: list[tuple]) -> Iterator[tuple]:
+        offset = 0
+        for (name, total, first, ids), start, n in window:
+            yield name, start, n, total, self.sequence, offset, ids[4 * (start - first) : 4 * (start - first + n)]
+            offset += n
+        self.sequence += 1
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of a document: where it starts there, its sequence and offset, and its ids (uint32, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, sequence = encoder(vocabulary), TaskContext.get().partitionId() << SEQUENCE_BITS
+        enc, packer = encoder(vocabulary), _Packer(capacity, group, TaskContext.get().partitionId() << SEQUENCE_BITS)
         end = np.array([end_id], "<u4").tobytes()
-        pending: list[tuple] = []
         out: list[tuple] = []
-
-        def emit(windows: list[list[tuple]]) -> None:
-            nonlocal sequence
-            for window in windows:
-                offset = 0
-                for (name, ids), start, n in window:
-                    out.append((name, start, n, len(ids) // 4, sequence, offset, ids[4 * start : 4 * (start + n)]))
-                    offset += n
-                sequence += 1
-
-        def rows() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PIECE_SCHEMA)], schema=PIECE_SCHEMA)
-            out.clear()
-            return batch
-
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = enc.encode(text.as_py() or "") + end
-                doc, n = (name, ids), len(ids) // 4
-                at = n // capacity * capacity
-                emit([[(doc, s, capacity)] for s in range(0, at, capacity)])
-                for size in split_rest(n - at, longest) if n > at else []:
-                    pending.append((doc, at, size))
-                    at += size
-                if len(pending) >= group:
-                    emit(pack_pieces(pending, capacity))
-                    pending = []
+                n = len(ids) // 4
+                whole = n // capacity * capacity
+                for at in range(0, whole, capacity):
+                    out += packer.rows([((name, n, 0, ids), at, capacity)])
+                    if len(out) >= group:
+                        yield _batch(out)
+                        out = []
+                if n > whole:
+                    out += packer.add(((name, n, whole, ids[4 * whole :]), whole, n - whole))
                 if len(out) >= group:
-                    yield rows()
-        if pending:
-            emit(pack_pieces(pending, capacity, last=True))
+                    yield _batch(out)
+                    out = []
+        out += [(name, start, n, total, None, None, ids) for (name, total, _, ids), start, n in packer.pending]
         if out:
-            yield rows()
+            yield _batch(out)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+        packer = _Packer(capacity, group, 1 << 62 | TaskContext.get().partitionId() << SEQUENCE_BITS)
+        for batch in batches:
+            for name, start, n, total, _, _, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows := packer.add(((name, total, start, ids), start, n)):
+                    yield _batch(rows)
+        if rows := packer.flush():
+            yield _batch(rows)
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    first = written(texts.mapInArrow(run, PIECES), "pieces")
+    left = first.where("sequence_id is null")
+    # Sixteen groups a task: the one window or two that a task's last group pads are few beside the others.
+    tasks = max(1, left.count() // (16 * group))
+    return first.where("sequence_id is not null").unionAll(left.repartition(tasks).mapInArrow(rest, PIECES))
