@@ -18,12 +18,16 @@ _made: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where all run in one process."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    path = sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="treefold-")
+    path = sc.getConf().get("spark.checkpoint.dir", "")
+    if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="treefold-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -46,8 +50,8 @@ def _clean() -> None:
     for spark, path in _made:
         try:
             delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            return
+        except Exception:  # noqa: BLE001  its session may have ended before; others may not
+            continue
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -58,6 +62,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(names: list[str]) -> Column:
+    """Columns as one struct ``row``: beside it, computed columns clash with no name of the input."""
+    return (F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)).alias("row")
+
+
 def order_id(doc_id: Column) -> Column:
     """doc_id as a bigint in which null comes after every other id."""
     return F.coalesce(doc_id.cast("bigint"), F.lit(LAST_ID))
