@@ -10,13 +10,15 @@ shift below the period brings both onto cover places, so the two copies share an
    send its 96-bit hash with the first document that has it, and buckets answer whether an earlier document has it;
 3. each chunk marks its windows that are not the first of their kind and drops the words that they cover.
 
-Chunks are documents by a hash of doc_id, of about ``chunk_bytes`` each, so no task holds more than a few chunks; a
-passage that many documents share reaches a bucket once a chunk, not once a document. All three passes read one exchange
-of the texts in one plan: nothing is collected and any lost part can be computed again.
+Chunks are rows by a hash of doc_id and text, so rows that share an id, or have none, are spread as well; a passage that
+many documents share reaches a bucket once a chunk, not once a document. A chunk and a bucket exchange one message each
+way; both grow with the root of the input up to MOST_SCALE times their least size (plan_sizes), so that a message holds
+many anchors at every size up to 100 TB and the number of messages stays below the number of anchors. All three
+passes read one exchange of the texts in one plan: nothing is collected and any lost part can be computed again.
 
 Results for odd input: null and empty texts have no words; a null doc_id comes last; rows with equal ids are taken in
-the order of their texts, the later as the later document; words are kept as they are; an empty table gives an empty
-table; other columns are ignored.
+the order of a hash of their texts, the later as the later document; words are kept as they are; very long texts are a
+chunk of their own size; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .base import LAST_ID, shuffle_width
 
 WIDTH = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)  # every difference modulo 13 is one of two members of the cover
+LEAST_CHUNK, LEAST_BUCKET = 8 << 20, 4 << 20  # bytes of text, anchors
+ROOT_FROM, MOST_SCALE = 64 << 30, 8  # bytes of input from which chunks and buckets grow, and how far
 BLOB = "chunk int, bucket int, step int, payload binary"
 BLOB_SCHEMA = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("step", pa.int32()), ("payload", pa.binary())])
 
@@ -43,14 +47,10 @@ class _Chunk:
 
     def __init__(self, rows: pa.Table, width: int):
         ids = rows.column("doc_id").combine_chunks().fill_null(LAST_ID).to_numpy(zero_copy_only=False)
-        texts = rows.column("text").combine_chunks()
-        order = np.argsort(ids, kind="stable")
-        sorted_ids = ids[order]
-        if (sorted_ids[1:] == sorted_ids[:-1]).any():  # equal ids: by text
-            keys = texts.fill_null("").to_pylist()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], keys[i])))
-        self.rows = rows.take(pa.array(order))
-        self.ids, self.width = ids[order], width
+        hashes = rows.column("th").combine_chunks().to_numpy(zero_copy_only=False)
+        order = np.lexsort((hashes, ids))
+        self.rows = rows.set_column(rows.column_names.index("text"), "text", rows.column("text").cast(pa.large_string())).take(pa.array(order))
+        self.ids, self.texts_hash, self.width = ids[order], hashes[order], width
         self.texts = self.rows.column("text").combine_chunks()
         self.data, self.offsets = tn.raw(self.texts)
         self.starts, self.ends, self.first = tn.words(self.data, self.offsets)
@@ -138,17 +138,23 @@ def _by_window(chunk: _Chunk, at: np.ndarray, n_buckets: int):
     return order, h1, h2, bucket, new
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = 8 << 20, bucket_anchors: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def plan_sizes(n_bytes: int, least_chunk: int = LEAST_CHUNK, least_bucket: int = LEAST_BUCKET, parallel: int = 1) -> tuple[int, int]:
+    """How many chunks and buckets an input of so many bytes takes."""
+    scale = min(MOST_SCALE, max(1.0, (n_bytes / ROOT_FROM) ** 0.5))
+    n_chunks = max(1, -(-n_bytes // int(least_chunk * scale)))
+    # About five bytes a word, and one word in three has an anchor.
+    return n_chunks, int(max(min(n_chunks, parallel), -(-n_bytes // int(15 * least_bucket * scale))))
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = LEAST_CHUNK, bucket_anchors: int = LEAST_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed): every text's kept words joined by one space."""
     if width < PERIOD:
         raise ValueError(f"windows of fewer than {PERIOD} words have no anchor")
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    n_chunks = max(1, -(-n_bytes // chunk_bytes))
-    # About five bytes a word, and one word in three has an anchor.
-    n_buckets = int(max(min(n_chunks, shuffle_width(spark)), -(-n_bytes // (15 * bucket_anchors))))
-    ident = F.col(id_col).cast("bigint")
-    texts = docs.select(F.pmod(F.xxhash64(ident), F.lit(n_chunks)).cast("int").alias("chunk"), ident.alias("doc_id"), F.col(text_col).alias("text"))
+    n_chunks, n_buckets = plan_sizes(n_bytes, chunk_bytes, bucket_anchors, shuffle_width(spark))
+    ident, th = F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(F.pmod(F.xxhash64(ident, th), F.lit(n_chunks)).cast("int").alias("chunk"), ident.alias("doc_id"), th.alias("th"), F.col(text_col).alias("text"))
 
     def send_anchors(key: tuple, rows: pa.Table) -> pa.Table:
         _, _, distinct, _ = _Chunk(rows, width).anchors(n_buckets)
@@ -167,14 +173,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, chunk_bytes: int = 8 <<
         chunk = _Chunk(rows, width)
         at = chunk.candidates(_told(replies, 1), n_buckets)
         order, h1, h2, bucket, new = _by_window(chunk, at, n_buckets)
-        owner = chunk.ids[chunk.doc[at[order]]]
-        return _blobs(key[0].as_py(), 2, bucket[new], [h1[new], h2[new], owner[new]])
+        owner = chunk.doc[at[order]][new]
+        return _blobs(key[0].as_py(), 2, bucket[new], [h1[new], h2[new], chunk.ids[owner], chunk.texts_hash[owner]])
 
     def earlier_windows(key: tuple, rows: pa.Table) -> pa.Table:
-        kinds = [np.dtype("<u8"), np.dtype("<u4"), np.dtype("<i8")]
+        kinds = [np.dtype("<u8"), np.dtype("<u4"), np.dtype("<i8"), np.dtype("<i8")]
         parts = [_unblob(p, kinds) for p in rows.column("payload").to_pylist()]
-        h1, h2, doc = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((doc, h2, h1))
+        h1, h2, doc, th = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((th, doc, h2, h1))
         new = np.ones(len(order), bool)
         new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         late = np.empty(len(order), bool)

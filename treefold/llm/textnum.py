@@ -2,7 +2,8 @@
 
 Words are runs of bytes other than the six ASCII white-space bytes, which in UTF-8 is exactly [^\\x20\\x09-\\x0D]+.
 Hashes are polynomials modulo 2**64 over random byte values, read off running sums and mixed at the end; the seeds are
-fixed, so all workers agree.
+fixed, so all workers agree. Polynomials modulo a power of two have long strings (Thue-Morse words) that meet for every
+base, so words above LONG_WORD bytes are hashed by BLAKE2b instead; windows have too few words for such strings.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ _RANDOM = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, (2, 256),
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _STRETCH = 1 << 20
+#: Below this many bytes, words that differ by a Thue-Morse word keep different polynomials (2**44 divides, 2**64 does not).
+LONG_WORD = 64
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +80,6 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     """A 64-bit hash of each span; spans in rising order without overlap."""
     out = np.empty(len(starts), np.uint64)
     low = 0
-    for i in np.flatnonzero(ends - starts > _STRETCH):  # a word that is a document of its own
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
     while low < len(starts):
         if ends[low] - starts[low] > _STRETCH:
             low += 1
@@ -91,6 +92,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
         s = starts[low:high] - a
         out[low:high] = (sums[ends[low:high] - a] - sums[s]) * down[s]
         low = high
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=bytes([which])).digest(), "little")
     return mix(out + (ends - starts).astype(np.uint64))
 
 
