@@ -81,22 +81,27 @@ def test_lines_odd_tables(spark, empty):
     from treefold.llm.linededup import dedup_lines
 
     assert dedup_lines(empty).count() == 0
-    clash = spark.createDataFrame([(1, "a line that repeats", 7, "h"), (2, "a line that repeats", 8, "i")], "doc_id long, text string, n_lines int, __x string")
-    got = {r["doc_id"]: r for r in dedup_lines(clash, 1).collect()}
-    assert got[1]["n_dropped"] == 0 and got[2]["n_dropped"] == 1 and got[2]["text"] == "" and got[2]["n_lines"] == 1 and got[2]["__x"] == "i"
+    names = "doc_id long, text string, n_lines int, __x string, __doc string, __th int, __lines string, __gone long, row string"
+    clash = spark.createDataFrame([(1, "a line that repeats", 7, "h", "d", 1, "l", 2, "r"), (2, "a line that repeats", 8, "i", "e", 3, None, 4, "s")], names)
+    got = {r["doc_id"]: r.asDict() for r in dedup_lines(clash, 1).collect()}
+    assert got[1]["n_dropped"] == 0 and got[2] == {"doc_id": 2, "text": "", "n_lines": 1, "n_dropped": 1, "__x": "i", "__doc": "e", "__th": 3, "__lines": None, "__gone": 4, "row": "s"}
 
 
-def test_runs_are_compacted(spark, docs, tmp_path):
-    from treefold.llm.linededup import LineRunStore
+def test_runs_are_compacted_and_joined_as_they_lie(spark, docs, tmp_path):
+    from treefold.llm.linededup import LineRunStore, line_hashes, sorted_scans
 
-    store = LineRunStore(spark, str(tmp_path / "runs"), fanout=2)
+    store, lines = LineRunStore(spark, str(tmp_path / "runs"), fanout=2), line_hashes(docs)
     for low in range(0, 40, 8):
-        store.add(docs.where(F.col("doc_id").between(low, low + 7)))
-    assert [len(x) for x in store.levels] == [1, 0, 1]
+        store.add(lines.where(F.col("__doc").between(low, low + 7)))
+    assert [len(x) for x in store.levels] == [1, 0, 1] and len(store.live) == 2  # merged runs are gone
     keys = store.keys()
-    assert keys.count() == keys.select("__h1", "__h2").distinct().count()
-    store.drop_retired()
-    assert store.keys().count() == keys.count()
+    assert keys.count() == keys.select("__h1", "__h2").distinct().count() > 0
+    batch = store.write_run(lines.groupBy("__h1", "__h2").agg(F.min("__doc").alias("__first"), F.max("__doc").alias("__last")))
+    with sorted_scans(spark):
+        plan = store.fresh(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan and "Exchange" not in plan and "Sort [" not in plan
+    store.close()
+    assert not store.live and not [p for p in (tmp_path / "runs").rglob("*.parquet")]
 
 
 # --- substring dedup
@@ -135,6 +140,49 @@ def test_substrings_random_matches(spark):
     assert got == without_repeats(rows, 20)
 
 
+def test_substrings_of_rows_without_ids(spark):
+    """Rows of one id, or of none, are spread over chunks, and take turns by the hash of their texts."""
+    from treefold.llm.substring import remove_repeats
+
+    rng = random.Random(11)
+    core = invent(rng, 30, 10**6)
+    rows = [(i, f"{invent(rng, 40, 10**6)} {core}") for i in [None] * 30 + [5] * 30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"chunk": F.lit("c"), "th": F.lit("t")})
+    got = remove_repeats(df, chunk_bytes=1000).collect()
+    assert sorted(r["n_removed"] for r in got) == [0] + [30] * 59
+    assert [r["doc_id"] for r in got if not r["n_removed"]] == [5]
+
+
+def test_messages_stay_below_anchors_at_every_size():
+    from treefold.llm.substring import plan_sizes
+
+    for size in (10**9, 3 * 10**10, 10**12, 10**13, 10**14):
+        chunks, buckets = plan_sizes(size)
+        assert chunks * buckets * 16 <= size / 15
+
+
+def test_words_that_meet_in_every_polynomial_keep_apart(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2**64 for every odd base."""
+    import pyarrow as pa
+
+    from treefold.llm import textnum as tn
+    from treefold.llm.substring import remove_repeats
+
+    first = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    second = first.translate(str.maketrans("ab", "ba"))
+    data, offsets = tn.raw(pa.array([first, second]))
+    starts, ends, _ = tn.words(data, offsets)
+    for which in (0, 1):
+        assert len(set(tn.hash_spans(data, starts, ends, which).tolist())) == 2
+    for n in (16, 32, 64):  # the polynomials' own words
+        data, offsets = tn.raw(pa.array([first[:n], second[:n]]))
+        starts, ends, _ = tn.words(data, offsets)
+        assert len(set(tn.hash_spans(data, starts, ends).tolist())) == 2
+    rest = " ".join(f"w{i}" for i in range(19))
+    got = remove_repeats(spark.createDataFrame([(1, f"{first} {rest}"), (2, f"{second} {rest}"), (3, f"{first} {rest}")], "doc_id long, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {1: 0, 2: 0, 3: 20}
+
+
 def test_substrings_empty(empty):
     from treefold.llm.substring import remove_repeats
 
@@ -238,9 +286,7 @@ def slow_ids(name, text):
 
     from treefold.llm.tokenizing import vocabulary
 
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(vocabulary(name)).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
@@ -251,12 +297,28 @@ def crc(ids):
 def test_word_encoder_equals_the_library(name):
     from treefold.llm.tokenizing import WordEncoder, vocabulary
 
-    e, rng = WordEncoder(vocabulary(name), memo=500, stretch=9), random.Random(1)
-    bits = [*"abcABC dE  \n\n\t.,!'’st123éÉñßſΣσςİı中́\x1c\x85\xa0 <|>ﬁ١½", "'s", "'ll", " don't", "<|endoftext|>", "  ", "\r\n", "😀"]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(name))
+    e, rng = WordEncoder(vocabulary(name), memo_bytes=100_000, stretch=9), random.Random(1)
+    bits = [*"abcABC dE  \n\n\t.,!'’st123éÉñßſΣσςİı中́\x1c\x85\xa0 <|>ﬁ१½", "'s", "'ll", " don't", "<|endoftext|>", "<|startoftext|>", "<|endof", "  ", "\r\n", "😀"]
     for i in range(4000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
         text = " ".join([text, "plain words", text]) if i % 3 == 0 else text
-        assert e.encode(text) == np.array(e.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+        assert e.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_encoder_memory_is_bounded():
+    """Long parts are not remembered; the memo starts anew once its bytes are used up."""
+    from treefold.llm.tokenizing import WordEncoder, vocabulary
+
+    e = WordEncoder(vocabulary("byte_bpe_50k.json"), memo_bytes=50_000)
+    for i in range(60):
+        e.encode("start " + f"{i}abc" * 2000)
+    assert max(map(len, [*e.parts, *e.seen])) <= 64 and e.parts.size + e.seen.size < 50_000
+    for i in range(3000):
+        e.encode(f"word{i} other{i}")
+        assert e.parts.size + e.seen.size < 51_000
 
 
 def test_simple8b_round_trip():
@@ -300,28 +362,26 @@ def test_differencing_is_near_equal():
     assert np.bincount(pack_group(np.full(10, 2049), 4096), np.full(10, 2049)).max() <= 4096
 
 
-@pytest.mark.parametrize("group,longest", [(1024, 1024), (4, 300)])
-def test_packing(docs, rows, empty, group, longest):
+@pytest.mark.parametrize("group,partitions", [(1024, 1), (16, 3), (4, 5)])
+def test_packing(docs, rows, empty, group, partitions):
     from treefold.llm.packing import pack_documents
     from treefold.llm.tokenizing import vocabulary
 
     path = vocabulary("word_bpe_49k.json")
-    got = pack_documents(docs.coalesce(1), path, group=group, longest=longest).collect()
+    got = pack_documents(docs.repartition(partitions), path, group=group).collect()
     windows = collections.defaultdict(list)
     pieces = collections.defaultdict(list)
     for r in got:
         assert len(r["ids"]) == 4 * r["length"] > 0
         windows[r["sequence_id"]].append((r["offset"], r["length"]))
         pieces[r["doc_id"]].append((r["start"], bytes(r["ids"]), r["doc_tokens"]))
-    padding = 0
+        assert r["length"] in (4096, r["doc_tokens"] % 4096)  # whole windows and one rest: nothing else is cut
     for w in windows.values():
         w.sort()
         assert [o for o, _ in w] == [0, *itertools.accumulate(n for _, n in w)][:-1]
-        total = sum(n for _, n in w)
-        assert total <= 4096
-        padding += 0 if total & (total - 1) == 0 else 4096 - total
+        assert sum(n for _, n in w) <= 4096
     total = sum(r["length"] for r in got)
-    assert padding <= 0.06 * total or group == 4
+    assert len(windows) <= -(-total // 4096) + (1 if group == 1024 else len(rows) // group + 1)
     want = collections.defaultdict(list)
     for i, t, *_ in rows:
         want[i].append(np.array(slow_ids("word_bpe_49k.json", t), "<u4").tobytes())
@@ -334,6 +394,23 @@ def test_packing(docs, rows, empty, group, longest):
     assert pack_documents(empty, path).count() == 0
 
 
+def test_pieces_are_cut_only_where_whole_ones_pad_too_much():
+    from treefold.llm.packing import pack_pieces
+
+    rng = np.random.default_rng(0)
+    whole = [(("d", 0, 0, b""), 0, int(n)) for n in rng.integers(1, 1500, 300)]
+    assert sorted(p for w in pack_pieces(whole) for p in w) == sorted(whole)
+    half = [((str(i), 0, 0, b""), 0, 2100) for i in range(100)]  # no two fit into a window
+    found = pack_pieces(half)
+    assert len(found) <= 1.03 * 2100 * 100 / 4096 + 1 and sum(n for w in found for _, _, n in w) == 210_000
+    assert all(sum(n for _, _, n in w) <= 4096 for w in found)
+    spans = collections.defaultdict(list)
+    for w in found:
+        for (name, *_), start, n in w:
+            spans[name].append((start, start + n))
+    assert all(s[0][0] == 0 and s[-1][1] == 2100 and all(a[1] == b[0] for a, b in itertools.pairwise(s)) for s in map(sorted, spans.values()))
+
+
 # --- media
 
 
