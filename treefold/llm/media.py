@@ -5,10 +5,12 @@ sample tables stts, stsz/stz2, stsc, stco/co64 and stss; from these it places ev
 range of each key frame. ``write_raw_track`` is the writer for payloads that are stored as 8-bit samples: an
 uncompressed grey video track of 8 x 8 frames, one frame a sample, a key frame at the start of every group of frames.
 
-Results for odd input: null or empty text is a payload of 64 zero bytes; null media, or bytes that are not ISO media or
-are cut short, give a null probe with the reason in ``error``, and so do files with movie fragments (moof), whose sample runs
-are not read; equal texts give equal media; an empty table gives an
-empty table; other columns are kept by ``media_columns`` unless they clash with its names.
+Results for odd input: null or empty text is a payload of 64 zero bytes, a very long one has as many frames as it takes;
+null media, bytes that are not ISO media or are cut short, boxes nested deeper than MOST_DEPTH, tables that count more
+samples than the file has bytes, and samples outside the file give a null probe with the reason in ``error``, and so do
+files with movie fragments (moof), whose sample runs are not read. Every count is checked against the file's size before
+memory is taken for it. Equal texts give equal media; an empty table gives an empty table; other columns are kept unless
+they clash with the computed names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textnum as tn
+
 FRAME = 64  # 8 x 8 samples of 8 bits
 FRAME_RATE = 25
 GROUP = 25  # frames from one key frame to the next
 #: Boxes that hold boxes (fixed values of ISO/IEC 14496-12).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Boxes inside boxes; the standard's own nest seven deep.
+MOST_DEPTH = 32
 IDENTITY = (0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -88,10 +94,14 @@ def write_raw_track(payload: bytes) -> bytes:
     return brand + moov + head + payload
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+def walk(data: memoryview) -> Iterator[tuple[tuple, int, int]]:
     """(path, body start, body end) of every box, nested ones after the box that holds them."""
-    end = len(data) if end is None else end
-    while start < end:
+    frames = [[0, len(data), ()]]
+    while frames:
+        start, end, path = frames[-1]
+        if start >= end:
+            frames.pop()
+            continue
         if end - start < 8:
             raise MediaError("a box header is cut short")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -104,10 +114,12 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple =
             size = end - start
         if size < head or start + size > end:
             raise MediaError(f"box {kind!r} runs beyond its frame")
+        frames[-1][0] = start + size
         yield (*path, kind), start + head, start + size
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            if len(frames) > MOST_DEPTH:
+                raise MediaError("boxes are nested too deep")
+            frames.append([start + head, start + size, (*path, kind)])
 
 
 def _table(data: memoryview, a: int, b: int, fields: int, kind: str = ">u4") -> np.ndarray:
@@ -125,6 +137,8 @@ def _sizes(data: memoryview, kind: bytes, a: int, b: int) -> np.ndarray:
         raise MediaError("a table is cut short")
     one, n = struct.unpack_from(">II", data, a + 4)
     if kind == b"stsz" and one:
+        if n * one > len(data):
+            raise MediaError("the samples are larger than the file")
         return np.full(n, one, np.int64)
     bits = 32 if kind == b"stsz" else one & 0xFF
     if bits not in (4, 8, 16, 32) or (n * bits + 7) // 8 > b - a - 12:
@@ -136,32 +150,38 @@ def _sizes(data: memoryview, kind: bytes, a: int, b: int) -> np.ndarray:
 
 
 class Track:
-    """What the boxes say of one track; samples are placed on demand."""
+    """What the boxes say of one track of a file of n_bytes; samples are placed on demand."""
 
-    def __init__(self):
+    def __init__(self, n_bytes: int):
+        self.n_bytes = n_bytes
         self.codec = self.handler = ""
         self.timescale = self.duration = 0
         self.tables: dict[bytes, np.ndarray] = {}
 
     def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Offset, length and decode time of every sample."""
+        """Offset, length and decode time of every sample. Memory goes with the number of sizes, whatever the other tables count."""
         sizes, chunks = self.tables.get(b"stsz", np.zeros(0, np.int64)), self.tables.get(b"stco", np.zeros((0, 1), np.int64))[:, 0]
         runs = self.tables.get(b"stsc", np.zeros((0, 3), np.int64))
         stts = self.tables.get(b"stts", np.zeros((0, 2), np.int64))
-        times = np.repeat(stts[:, 1], stts[:, 0])
-        times = np.cumsum(times) - times
-        if not len(sizes):
+        n = len(sizes)
+        if not n:
             return sizes, sizes, sizes
         if not len(chunks) or not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
             raise MediaError("samples without chunks")
-        until = np.append(runs[1:, 0], len(chunks) + 1)
-        per_chunk = np.repeat(runs[:, 1], np.maximum(until - runs[:, 0], 0))[: len(chunks)]
-        if per_chunk.sum() < len(sizes) or len(times) < len(sizes):
+        at, number = np.arange(n), np.arange(1, len(chunks) + 1)
+        per_chunk = runs[np.searchsorted(runs[:, 0], number, "right") - 1, 1]
+        chunk_ends, run_ends = np.cumsum(np.minimum(per_chunk, n)), np.cumsum(np.minimum(stts[:, 0], n))
+        if chunk_ends[-1] < n or not len(stts) or run_ends[-1] < n:
             raise MediaError("the sample tables disagree")
-        first = np.repeat(np.cumsum(per_chunk) - per_chunk, per_chunk)[: len(sizes)]
+        chunk = np.searchsorted(chunk_ends, at, "right")
         before = np.cumsum(sizes) - sizes
-        offset = np.repeat(chunks, per_chunk)[: len(sizes)] + before - before[first]
-        return offset, sizes, times[: len(sizes)]
+        offset = chunks[chunk] + before - before[(chunk_ends - np.minimum(per_chunk, n))[chunk]]
+        if offset.min() < 0 or chunks.min() < 0 or (offset + sizes).max() > self.n_bytes:
+            raise MediaError("a sample lies outside the file")
+        run = np.searchsorted(run_ends, at, "right")
+        spans = np.minimum(stts[:, 0], n) * stts[:, 1]
+        time = (np.cumsum(spans) - spans)[run] + (at - (run_ends - np.minimum(stts[:, 0], n))[run]) * stts[run, 1]
+        return offset, sizes, time
 
     def key_frames(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Offset, length and decode time of every sync sample; without a table every sample is one."""
@@ -183,15 +203,17 @@ def probe(data: bytes) -> list[Track]:
         if kind == b"moof":
             raise MediaError("sample runs of movie fragments are not read")
         if kind == b"trak":
-            tracks.append(Track())
+            tracks.append(Track(len(data)))
         elif b"trak" not in path:
             continue
         elif kind == b"mdhd":
-            wide = view[a] == 1
+            wide = b > a and view[a] == 1
             if b - a < (32 if wide else 20):
                 raise MediaError("a header is cut short")
             tracks[-1].timescale, tracks[-1].duration = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
         elif kind == b"hdlr":
+            if b - a < 12:
+                raise MediaError("a header is cut short")
             tracks[-1].handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
         elif kind == b"stsd":
             if b - a < 16:
@@ -248,8 +270,8 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low, high in tn.pieces(batch.num_rows, tn.raw(batch.column(1))[1], 4 << 20):
+                part = batch.slice(low, high - low)
                 raw = [(t.as_py() or "").encode() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([write_raw_track(pad(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"]
@@ -258,13 +280,18 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def payload_digests(media: DataFrame) -> DataFrame:
-    """Per (doc_id, n_bytes, media): digests of the payload that the sample tables locate, of the file, and its features."""
+DIGESTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
+def payload_digests(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """media without its file column, but with digests of the payload that the sample tables locate, of the file, and its features."""
+    rest = [c for c in media.columns if c != media_col and c not in DIGESTS]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*rest).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for x in batch.column(2):
+            rows = {c: [] for c in DIGESTS}
+            for x in batch.column(0):
                 data = x.as_py()
                 (track,) = probe(data)
                 view = memoryview(data)
@@ -281,9 +308,7 @@ def payload_digests(media: DataFrame) -> DataFrame:
                 rows["media_bytes"].append(len(data))
                 rows["media_sha256"].append(hashlib.sha256(data).hexdigest())
                 rows["feature"].append(f"{track.handler}/{track.codec.strip()} {track.duration}/{track.timescale}s keys={len(key_at)} ranges={zlib.crc32(ranges):08x}")
-            kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, kinds.get(k, pa.string())) for k, v in rows.items())], ["doc_id", "n_bytes", *rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(rows[c], kind) for c, kind in DIGESTS.items())], [*rest, *DIGESTS])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    kinds = ", ".join(f"{c} {'long' if pa.types.is_integer(k) else 'string'}" for c, k in DIGESTS.items())
+    return media.select(media_col, *rest).mapInArrow(run, ", ".join([*fields, kinds]))

@@ -85,9 +85,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .base import written
-    from .media import payload_digests, texts_as_media
+    from .media import media_columns, payload_digests, texts_as_media
 
-    return payload_digests(written(texts_as_media(table(spark, sf_dir, "documents")), "media"))
+    stored = written(media_columns(texts_as_media(table(spark, sf_dir, "documents"))), "media")
+    track = F.col("tracks")[0]
+    found = payload_digests(stored.select("doc_id", "n_bytes", "media", track["codec"].alias("codec"), (track["duration"] / track["timescale"]).alias("seconds"), track["key_frames"].alias("key_frames")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds", "key_frames")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
