@@ -1,13 +1,14 @@
 """Quality rules: plain text counts, and a calibrated logistic regression over hashed word and character n-grams.
 
-The model is a mean of gram weights: word unigrams and bigrams and byte 4-grams fall into two hashed tables, a text's
-score is the bias and the mean weight of either kind of gram. It is fitted on at most ``max_train`` labelled rows (the
-lowest by a hash of doc_id; a documented bound, the only one) by one task, calibrated by a Platt sigmoid on a fifth of
+The model is a mean of gram weights: word unigrams and bigrams and character 4-grams (of code points) fall into two hashed
+tables, a text's score is the bias and the mean weight of either kind of gram. It is fitted on at most ``max_train`` labelled
+ids (the lowest by a hash of doc_id; one row an id, the one whose text has the least hash) and at most ``max_train_bytes`` of their packed
+grams (in that order; documented bounds, the only ones) by one task, calibrated by a Platt sigmoid on a fifth of
 them that the fit does not see, and shipped to the executors as two fixed-size arrays. Scoring runs in Arrow batches over whole texts.
 
 Results for odd input: null and empty texts have zero counts and fail the base rules; null ids or labels are not trained
-on; without labels of both kinds the verdict is to keep; repeated rows get equal results; an empty table gives an empty
-table; columns of the input that clash with a computed name are replaced, all others are kept.
+on; without labels of both kinds the verdict is to keep; repeated rows get equal results; very long texts are taken in
+stretches of characters; an empty table gives an empty table; columns of the input that clash with a computed name are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textnum as tn
 
 TABLE_BITS = 16
-MAX_TRAIN = 3000
+MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 256 << 20
 #: A text is kept if its calibrated probability of label 1 is at least this.
 KEEP_AT = 0.5
 MIN_WORDS = 50
@@ -86,18 +87,34 @@ def counts(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, hashes: np.
     ]
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and where each begins; one that is cut off at the end is not whole."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint32), np.arange(len(data))
+    at = np.flatnonzero(~NOT_FIRST_BYTE[data])
+    first = data[at].astype(np.uint32)
+    more = [data[np.minimum(at + k, len(data) - 1)].astype(np.uint32) & 0x3F for k in (1, 2, 3)]
+    two, three = (first & 0x1F) << 6 | more[0], (first & 0x0F) << 12 | more[0] << 6 | more[1]
+    four = (first & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+    return np.select([first < 0x80, first < 0xE0, first < 0xF0], [first, two, three], four), at
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, slots, texts) of all word grams (kind 0) and, stretch by stretch, of all byte grams (kind 1)."""
+    """(kind, slots, texts) of all word grams (kind 0) and, stretch by stretch, of all 4-grams of characters (kind 1)."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     shift = np.uint64(64 - TABLE_BITS)
     two = np.flatnonzero(tn.inside(first, len(hashes), 2))
     pairs = tn.hash_windows(hashes, 2)[two] if len(two) else np.zeros(0, np.uint64)
     yield 0, np.concatenate([hashes >> shift, pairs >> shift]).astype(np.int64), np.concatenate([doc, doc[two]])
-    for low in range(0, len(data) - 3, most):
-        wide = data[low : low + most + 3].astype(np.uint32)
-        n = len(wide) - 3
-        four = (wide[:n] | wide[1 : n + 1] << 8 | wide[2 : n + 2] << 16 | wide[3 : n + 3] << 24) * np.uint32(0x9E3779B1)
-        of = np.searchsorted(offsets, np.arange(low, low + n + 3), "right") - 1 if len(offsets) > 2 else np.zeros(n + 3, np.int64)
+    for low in range(0, len(data), most):
+        # Grams begin inside the stretch; the 16 bytes behind it hold their other three characters.
+        chars, at = code_points(data[low : low + most + 16])
+        n = min(int(np.searchsorted(at, most)), len(chars) - 3)
+        if n <= 0:
+            continue
+        step = np.uint32(0x01000193)
+        four = (((chars[:n] * step + chars[1 : n + 1]) * step + chars[2 : n + 2]) * step + chars[3 : n + 3]) * np.uint32(0x9E3779B1)
+        of = np.searchsorted(offsets, at[: n + 3] + low, "right") - 1 if len(offsets) > 2 else np.zeros(n + 3, np.int64)
         whole = of[:n] == of[3:]
         yield 1, (four >> np.uint32(32 - TABLE_BITS))[whole].astype(np.int64), of[:n][whole]
 
@@ -195,12 +212,13 @@ def fit_grams(rows: list[tuple[bytes, bytes, bytes, bytes, int]], epochs: int =
     return GramModel(float(w[-1]), (w[:size].astype(np.float32), w[size:-1].astype(np.float32)), slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> GramModel | None:
-    """Fit on at most max_train labelled rows of docs (labels: doc_id, quality)."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", max_train_bytes: int = MAX_TRAIN_BYTES) -> GramModel | None:
+    """Fit on at most max_train labelled ids of docs (labels: doc_id, quality), and at most so many bytes of packed grams."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("quality").cast("int").alias("__y")).where("__id is not null and __y is not null")
     known = known.groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_train)  # at most max_train small rows: a bounded broadcast
-    sample = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__y")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    sample = texts.groupBy("__id").agg(F.min_by("__text", F.xxhash64(F.coalesce("__text", F.lit("")))).alias("__text"), F.first("__y").alias("__y"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +239,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
                 at += len(part)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((tuple(r) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:2])
+        rows, held = [], 0
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                held += sum(len(x) for x in r[1:5])
+                if held <= max_train_bytes or not rows:
+                    rows.append(r)
+            if held > max_train_bytes:
+                break
         rng = np.random.Generator(np.random.PCG64(3))
         model = fit_grams([rows[i][1:] for i in rng.permutation(len(rows))])
         if model is not None:
@@ -229,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["bias", "slope", "shift", "a", "b"])
 
     # The sample is bounded, so one task can hold it; the driver gets the two tables alone.
-    found = sample.mapInArrow(sparse, "id long, a binary, b binary, c binary, d binary, y int").repartition(1)
+    found = sample.mapInArrow(sparse, "id long, a binary, b binary, c binary, d binary, y int").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
     for r in found.mapInArrow(fit, "bias double, slope double, shift double, a binary, b binary").collect():
         return GramModel(r["bias"], tuple(np.frombuffer(bytes(r[c]), np.float32) for c in "ab"), r["slope"], r["shift"])
     return None
