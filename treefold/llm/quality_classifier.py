@@ -4,14 +4,15 @@ Statistics of every whole text are computed once, in Arrow batches, and kept as
 the standardised statistics is approximated by ``features`` random cosines; every partition of the labelled training
 rows sums its share of the normal equations, and the sums are added up in a tree of constant memory, so the fit covers
 all training rows and its cost at the driver depends on ``features`` alone. Raw scores are calibrated by isotonic
-regression (pool adjacent violators) over a fixed grid of score bins.
+regression (pool adjacent violators) over a fixed grid of score bins, and by cross-fitting: the rows of either half are
+scored with the weights of the other half's equations, so no row is calibrated by a fit that saw it.
 
 Only the text is an input. Rows whose crc32(doc_id as text) is 0 modulo 5 are held out from everything that is learnt.
 
 Results for odd input: null and empty texts have all-zero statistics and are scored like any other; a null id counts as
 empty text for the hold-out rule; null labels and labels of unknown documents are left out; without training labels of
-both kinds every score is the share of label 1, or 0.5 without any; repeated rows get equal scores; an empty table gives
-an empty table; other columns are ignored.
+both kinds every score is the share of label 1, or 0.5 without any; repeated rows get equal scores; very long texts are
+taken whole, one at a time; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def matrix(stats: pa.Array) -> np.ndarray:
 
 
 def summed(rows: DataFrame, share: Callable[[pa.RecordBatch], np.ndarray], fan_in: int = 32) -> np.ndarray | None:
-    """The sum of share(batch) over all batches: each partition adds up its own, and a tree of streaming adders the rest."""
+    """The sum of share(batch) over all batches: each partition adds up its own, and at most fan_in streaming adders the rest."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -107,10 +108,8 @@ def summed(rows: DataFrame, share: Callable[[pa.RecordBatch], np.ndarray], fan_i
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
 
-    sums, width = rows.mapInArrow(local, "sum binary"), shuffle_width(rows.sparkSession)
-    while width > fan_in:
-        width = -(-width // fan_in)
-        sums = sums.repartition(width).mapInArrow(add, "sum binary")
+    # However many partitions rows has, so many adders stream their sums and one row of each goes to the driver.
+    sums = rows.mapInArrow(local, "sum binary").repartition(min(fan_in, shuffle_width(rows.sparkSession))).mapInArrow(add, "sum binary")
     found = [np.frombuffer(bytes(r[0]), "<f8") for r in sums.collect()]  # at most fan_in rows of fixed size
     return sum(found[1:], found[0]) if found else None
 
@@ -130,8 +129,8 @@ class Kernel:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.concatenate([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), np.ones((len(x), 1))], 1)
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.lift(x) @ self.theta
+    def raw(self, x: np.ndarray, theta: np.ndarray | None = None) -> np.ndarray:
+        return self.lift(x) @ (self.theta if theta is None else theta)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(x), *self.curve), 0, 1)
@@ -150,7 +149,7 @@ def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit_kernel(known: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED) -> Kernel | float:
-    """Fit on rows (stats, y); a constant score where there are not both labels."""
+    """Fit on rows (stats, y, half: 0 or 1); a constant score where there are not both labels."""
     moments = summed(known, lambda b: np.concatenate([[b.num_rows, b.column(1).to_numpy(zero_copy_only=False).sum()], (x := matrix(b.column(0))).sum(0), (x**2).sum(0)]))
     if moments is None or moments[1] in (0, moments[0]):
         return 0.5 if moments is None else float(moments[1] / moments[0])
@@ -161,17 +160,20 @@ def fit_kernel(known: DataFrame, features: int = FEATURES, ridge: float = RIDGE,
     size = features + 1
 
     def equations(batch: pa.RecordBatch) -> np.ndarray:
-        z, y = kernel.lift(matrix(batch.column(0))), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+        z, y, half = kernel.lift(matrix(batch.column(0))), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         w = np.where(y == 1, n / (2 * positive), n / (2 * (n - positive)))  # both labels weigh the same
-        return np.concatenate([(z.T @ (z * w[:, None])).reshape(-1), z.T @ (w * y)])
+        return np.concatenate([part for h in (0, 1) for zh, wh in [(z[half == h], w[half == h])] for part in ((zh.T @ (zh * wh[:, None])).reshape(-1), zh.T @ (wh * y[half == h]))])
 
-    sums = summed(known, equations)
-    a, b = sums[: size * size].reshape(size, size), sums[size * size :]
-    kernel.theta = np.linalg.solve(a + ridge * n / size * np.eye(size), b)
+    sums = summed(known, equations).reshape(2, -1)
+    solved = lambda s: np.linalg.solve(s[: size * size].reshape(size, size) + ridge * n / size * np.eye(size), s[size * size :])
+    kernel.theta = solved(sums.sum(0))
+    other = [solved(sums[1]), solved(sums[0])]
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.clip((kernel.raw(matrix(batch.column(0))) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
+            x, half = matrix(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
+            raw = np.where(half == 0, kernel.raw(x, other[0]), kernel.raw(x, other[1]))
+            at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], ["bin", "y"])
 
     bins = known.mapInArrow(binned, "bin int, y int").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toPandas().sort_values("bin")
@@ -183,10 +185,11 @@ def fit_kernel(known: DataFrame, features: int = FEATURES, ridge: float = RIDGE,
 
 def classify(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document (labels: doc_id, quality)."""
-    held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out")
+    check = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    held = (check % 5 == 0).alias("held_out")
     stats = written(with_statistics(docs, id_col, text_col).select("*", held), "stats")
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    train = stats.where("not held_out").join(known, "doc_id").select("stats", "y")
+    train = stats.where("not held_out").join(known, "doc_id").select("stats", "y", (F.floor(check / 5) % 2).cast("int").alias("half"))
     kernel = fit_kernel(train, features, ridge, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
