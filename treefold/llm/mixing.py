@@ -1,14 +1,15 @@
 """Mixing sources to target weights: Sainte-Lague quotas, then a seeded choice of equal-token blocks.
 
-1. One pass counts words; (source, shard) sums go to the driver: at most ``max_shards`` rows a source, however many
-   documents there are. Shards are dealt by a hash of the document, so a hot source has many.
+1. One pass counts words and sums them by (source, shard); shards are dealt by a hash of the document, so a hot source has
+   many. Only the sums of whole sources go to the driver, one row a source.
 2. Targets: each source's share by weight, stopped at ``max_repeat`` times its size, the excess reshared (water filling).
-3. Words go to the sources by highest quotients target / (2k + 1), then to a source's shards likewise: whole blocks of
-   ``block`` words and a last partial one, so that a source smaller than a block comes to its target as well.
+3. Words go to the sources by highest quotients target / (2k + 1), then to a source's shards likewise (on the executors,
+   a source at a time, at most ``max_shards`` sums each): whole blocks of ``block`` words and a last partial one, so that a
+   source smaller than a block comes to its target as well.
 4. Each shard lays its documents out in a seeded order; its quota takes whole rounds of all of them and, for the rest,
    an arc of blocks with a seeded start. A document's take is its size times the rounds plus its overlap with the arc.
 
-Results for odd input: null text has size 0; sources order by code point with null last; a source without words has
+Results for odd input: null text has size 0; a very long text is one document that its shard's arc may cut; sources order by code point with null last; a source without words has
 target 0; repeated rows are separate documents of equal size; an empty table gives an empty table. Ties in the seeded
 order are between rows with the same id and size, which are interchangeable. Columns of the input named like a computed
 one (size, source_size, target, taken) are replaced.
@@ -19,9 +20,9 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .base import order_id, written
@@ -106,33 +107,33 @@ def mix_sources(
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(max_shards)).cast("int").alias("__fine"),
     )
     sized = written(sized, "sizes")
-    sums = sized.groupBy("source", "__fine").agg(F.sum("size").alias("n")).toPandas()  # at most max_shards rows a source
-    names = sorted({s for s in sums["source"] if s is not None}) + [None] * bool(sums["source"].isna().any())
-    place = {s: i for i, s in enumerate(names)}
-    at = np.array([place[s if isinstance(s, str) else None] for s in sums["source"]], np.int64)
-    n = sums["n"].to_numpy(np.int64)
-    sizes = np.bincount(at, n, len(names)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
+    sums = sized.groupBy("source", "__fine").agg(F.sum("size").alias("n"))
+    totals = [(r["source"], int(r["n"])) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()]  # a row a source
+    totals.sort(key=lambda x: (x[0] is None, x[0] or ""))
+    names, sizes = [s for s, _ in totals], np.array([n for _, n in totals], np.int64)
     total = int(sizes.sum())
     block = max(1, min(max_block, total // 65536))
     per = np.array([weights[i % len(weights)] for i in range(len(names))], float)
     target = water_fill(sizes, per, max_repeat) if total else np.zeros(len(names))
     given = sainte_lague(target, total, max_repeat * sizes)
-
-    rows = []
-    for s in range(len(names)):
-        shards = int(min(max_shards, max(1, sizes[s] // (block * blocks_per_shard))))
-        mine = at == s
-        held = np.bincount(sums["__fine"].to_numpy()[mine] * shards // max_shards, n[mine], shards).astype(np.int64)
-        quota = sainte_lague(held, int(given[s]), max_repeat * held)
-        for k in range(shards):
-            passes, rest = divmod(int(quota[k]), int(held[k])) if held[k] else (0, 0)
-            rows.append((names[s], shards, k, int(held[k]), int(sizes[s]), float(target[s]), passes, rest))
-    plan = spark.createDataFrame(
-        rows,
-        T.StructType(
-            [T.StructField("__src", T.StringType())]
-            + [T.StructField(c, t) for c, t in (("__shards", T.IntegerType()), ("__shard", T.IntegerType()), ("__held", T.LongType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("__passes", T.LongType()), ("__rest", T.LongType()))]
-        ),
+    shards = np.clip(sizes // (block * blocks_per_shard), 1, max_shards)
+    sources = spark.createDataFrame(
+        list(zip(names, shards.tolist(), given.tolist(), sizes.tolist(), target.tolist())),
+        "__src string, __shards long, __given long, source_size long, target double",
+    )
+    held = sums.join(sources, sums["source"].eqNullSafe(sources["__src"])).groupBy("__src", "__shards", "__given", "source_size", "target", F.floor(F.col("__fine") * F.col("__shards") / max_shards).alias("__shard"))
+
+    def quotas(rows: pa.Table) -> pa.Table:
+        """Sainte-Lague once more, over the shards of one source."""
+        rows = rows.sort_by("__shard")
+        size = rows.column("__held").to_numpy()
+        quota = sainte_lague(size, rows.column("__given")[0].as_py(), max_repeat * size)
+        words = np.maximum(size, 1)
+        out = rows.select(["__src", "__shards", "__shard", "__held", "source_size", "target"])
+        return out.append_column("__passes", pa.array(np.where(size, quota // words, 0))).append_column("__rest", pa.array(np.where(size, quota % words, 0)))
+
+    plan = held.agg(F.sum("n").alias("__held")).groupBy("__src").applyInArrow(
+        quotas, "__src string, __shards long, __shard long, __held long, source_size long, target double, __passes long, __rest long"
     )
     # The plan has a row a shard; the join below is by source and by every fine shard that the shard covers.
     fine = plan.withColumn(
