@@ -6,9 +6,11 @@ some v even against all their codes, so their bits under M(v) agree: every pair
 2**(radius + 1) - 1 tables, without fail. A bucket is a range of a sorted partition; inside it numpy compares members
 and only a star for each of its components leaves it, never all pairs. A bucket above ``most`` members is dealt out anew
 by covering masks on the bits that its table left free: after that step a bucket has 16 free bits, so 65,536 at most.
+A task streams such a bucket on as its rows arrive and never holds more than ``most`` of them.
 
 Results for odd input: null and empty texts have fingerprint zero and link like any other; a null doc_id comes last and
-is reported as null only for itself; repeated rows share their component; an empty table gives an empty table.
+is reported as null only for itself; repeated rows share their component; very long texts are hashed in stretches of
+shingles; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -121,9 +123,22 @@ def _bucket_links(sorted_rows: DataFrame, radius: int, most: int | None) -> Data
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(t.astype(np.int32))], schema=schema)
 
+        def outsize(cols: list[np.ndarray]) -> pa.RecordBatch:
+            fp = pa.array(cols[-1])
+            return pa.RecordBatch.from_arrays([fp, fp, pa.array(cols[0].astype(np.int32))], schema=schema)
+
         held: list[np.ndarray] = []
+        big = None  # the bucket that has outgrown ``most`` and goes on in the next batch
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            if big is not None:
+                other = np.flatnonzero(np.logical_or.reduce([c != b for c, b in zip(cols[:-1], big)]))
+                n = int(other[0]) if len(other) else batch.num_rows
+                if n:
+                    yield outsize([c[:n] for c in cols])
+                if n == batch.num_rows:
+                    continue
+                cols, big = [c[n:] for c in cols], None
             held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
             # The last bucket may go on in the next batch.
             new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:-1]])) + 1
@@ -131,6 +146,9 @@ def _bucket_links(sorted_rows: DataFrame, radius: int, most: int | None) -> Data
                 cut = int(new[-1])
                 yield from work([c[:cut] for c in held[:-1]], np.ascontiguousarray(held[-1][:cut]).view(np.uint64))
                 held = [c[cut:] for c in held]
+            if most is not None and held and len(held[0]) > most:
+                yield outsize(held)
+                big, held = [c[0] for c in held[:-1]], []
         if held:
             yield from work(held[:-1], np.ascontiguousarray(held[-1]).view(np.uint64))
 
