@@ -446,7 +446,7 @@ def test_probe_other_layouts_and_damage(spark):
         m.full_box(b"stco", *(x.to_bytes(4, "big") for x in (2, *chunks))),
     )
     mdhd = m.full_box(b"mdhd", bytes(16), (90).to_bytes(4, "big"), (900).to_bytes(8, "big"), bytes(4), version=1)
-    file = m.box(b"ftyp", b"isom") + m.box(b"free", b"x") + m.box(b"moov", m.box(b"trak", m.box(b"mdia", mdhd, m.box(b"minf", stbl))))
+    file = m.box(b"ftyp", b"isom") + m.box(b"free", b"x") + m.box(b"moov", m.box(b"trak", m.box(b"mdia", mdhd, m.box(b"minf", stbl)))) + m.box(b"mdat", bytes(300))
     (t,) = m.probe(file)
     assert (t.codec, t.timescale, t.duration) == ("avc1", 90, 900)
     assert [x.tolist() for x in t.samples()] == [[100, 105, 112, 300], sizes, [0, 10, 20, 30]]
@@ -578,8 +578,8 @@ def slow_chats(rows):
     return out
 
 
-@pytest.mark.parametrize("block,part", [(1024, 1024), (2, 3)])
-def test_chats(spark, block, part):
+@pytest.mark.parametrize("blocks,part", [(None, 1024), (1, 1024), (37, 3)])
+def test_chats(spark, blocks, part):
     from treefold.llm.chat import format_chats
 
     rng = random.Random(6)
@@ -590,13 +590,26 @@ def test_chats(spark, block, part):
     rows += rows[:5] + [(None, None, None, None), (None, 3, "user", ""), (50, 0, None, None), (51, 0, "", ""), (52, -5, "user", "hello"), (52, 7, "assistant", "t0")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1))
     got = collections.defaultdict(list)
-    for r in format_chats(df, part, block).collect():
+    for r in format_chats(df, part, blocks=blocks).collect():
         assert r["n_turns"] <= part
         got[r["conv_id"]].append((r["part"], r["rendered"]))
     assert {c: "".join(x for _, x in sorted(v)) for c, v in got.items()} == slow_chats(rows)
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_without_ids_and_of_long_turns(spark):
+    """Turns without a conv_id spread over blocks; parts are cut by bytes as well."""
+    from treefold.llm.chat import format_chats
+
+    rows = [(None, i % 7, "user", f"text {i:05}") for i in range(3000)] + [(1, 0, "user", "x" * 500), (1, 1, "user", "y" * 500), (1, 2, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("__block", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in format_chats(df, bytes_per_part=600, blocks=16).collect():
+        assert len(r["rendered"]) < 1200 + 40 * r["n_turns"]
+        got[r["conv_id"]].append((r["part"], r["rendered"]))
+    assert {c: "".join(x for _, x in sorted(v)) for c, v in got.items()} == slow_chats(rows) and len(got[1]) == 2
+
+
 # --- words and hashes
 
 
