@@ -62,7 +62,7 @@ def test_five_relations_all_ways(five):
     assert a.shape == (174, 11)
     assert np.allclose(decompose.upper_factor(t), want, atol=1e-10)
     assert np.allclose(decompose.upper_factor(t, "cofactor"), want, atol=1e-8)
-    assert np.allclose(factor.upper_of_blocks(headtail.blocks(t, salts=3), t.features), want, atol=1e-10)
+    assert np.allclose(factor.upper_of_blocks(headtail.blocks(t, centred_tails=True), t.features), want, atol=1e-10)
     assert np.allclose(decompose.upper_factor(decompose.single(relational.materialise(t), features=t.features)), want, atol=1e-10)
 
 
@@ -79,16 +79,78 @@ def test_rows_of_a_join(five):
     assert np.allclose(np.linalg.svd(decompose.upper_factor(rooted, "cofactor"), compute_uv=False), scores.sigma)
 
 
-def test_hot_keys_are_salted(five, monkeypatch):
+def test_all_methods_give_one_factor(five, monkeypatch):
     t = JoinTree(("R2", "R5", "R4"), five)
-    want = decompose.upper_factor(t)
-    monkeypatch.setattr(decompose, "SURELY_COLD", 0)
-    monkeypatch.setattr(decompose, "HOT_ROWS", 1)
-    assert np.allclose(decompose.upper_factor(t), want, atol=1e-10)
-    monkeypatch.setattr(factor, "LARGE", 0)
-    assert np.allclose(decompose.upper_factor(t, "auto"), want, atol=1e-8)
+    want = linalg.upper(dense(t))
+    for method in ("heads_tails", "cofactor", "auto"):
+        assert np.allclose(decompose.upper_factor(t, method), want, atol=1e-9)
     monkeypatch.setattr(decompose, "MOST_CONDITION", 0)
-    assert np.allclose(decompose.upper_factor(t, "auto"), want, atol=1e-10)
+    assert np.allclose(decompose.upper_factor(t), want, atol=1e-10)
+    monkeypatch.setattr(factor, "GENERATED_FIELDS", 5)
+    assert np.allclose(decompose.upper_factor(t), want, atol=1e-10)
+    f = decompose.qr(t, method="cholesky_qr2")
+    assert np.allclose(f.r, want, atol=1e-10) and matrix.orthogonality(f.rows, [f"q{i + 1}" for i in range(len(want))]) < 1e-13
+
+
+def test_centred_tails_take_no_window(five):
+    t = JoinTree(SHAPE, five)
+    for b in headtail.blocks(t, centred_tails=True):
+        assert "Window" not in b.rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_beyond_doubles(spark):
+    """Three children with 300,001-fold keys: circle counts above 2**53 to the last digit."""
+    n = 300_001
+    rows = spark.range(n).select(F.lit(1).cast("bigint").alias("k"))
+    tree = JoinTree(("A", "B", "C"), {"A": rows.withColumn("a", F.lit(1.0)), "B": spark.range(300_001).select(F.lit(1).cast("bigint").alias("k"), F.lit(1.0).alias("b")), "C": spark.range(300_001).select(F.lit(1).cast("bigint").alias("k"), F.lit(1.0).alias("c"))})
+    exact = counts.all_counts(tree)
+    assert exact["B"].by_key.first()["circle"] == n * n
+    assert counts.join_size(tree).first()[0] == n**3
+    star = JoinTree(("A", "B", "C", "D"), {x: spark.range(n if x != "A" else 1).select(F.lit(1).cast("bigint").alias("k"), F.lit(1.0).alias(x.lower())) for x in "ABCD"})
+    assert counts.all_counts(star)["A"].by_key.first()["circle"] == 27000270000900001
+    odd = JoinTree(("A", "B", "C"), {x: spark.range(m).select(F.lit(1).cast("bigint").alias("k"), F.lit(1.0).alias(x.lower())) for x, m in (("A", 2), ("B", 300_001), ("C", 90_000_600_001 // 1_000_003))})
+    assert counts.all_counts(odd)["A"].by_key.first()["circle"] == 300_001 * (90_000_600_001 // 1_000_003)
+    inexact = counts.all_counts(tree, exact=False)
+    assert inexact["B"].by_key.first()["circle"] == pytest.approx(float(n) ** 2, rel=1e-15)
+
+
+def test_factors_of_many_partitions_are_merged_before_the_driver(spark, monkeypatch):
+    """100 partitions and 4 shuffle partitions: four factors reach the driver, and R is right."""
+    df = random_relation(spark, 3000, 3).drop("row").repartition(100).persist()
+    seen = []
+    monkeypatch.setattr(linalg, "upper", lambda a, n=None, upper=linalg.upper: seen.append(a.shape) or upper(a, n))
+    got = factor.tsqr(df, df.columns)
+    assert seen == [(4 * 3, 3)]
+    monkeypatch.undo()
+    assert np.allclose(got, linalg.upper(np.array(df.collect(), float)), atol=1e-10)
+
+
+def test_rank_deficient_relations_and_joins(spark, five):
+    """Cofactors fall back; LU gives zero pivots, and L times U is still the matrix."""
+    df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7)) for i in range(1, 40)], "x double, y double, z double")
+    a = np.array(df.collect(), float)
+    for method in ("cofactor", "auto", "heads_tails"):
+        r = decompose.upper_factor(decompose.single(df), method)
+        assert np.allclose(r.T @ r, a.T @ a, atol=1e-9)
+    f = decompose.lu(decompose.single(df), compute_l=True)
+    assert f.rank == 2 and f.pivot_columns == [0, 2] and not f.u[1].any()
+    low = np.array(f.rows.select("l1", "l2", "l3").collect(), float)
+    assert np.abs(low).max() <= 1 + 1e-12 and np.allclose(sorted(map(tuple, (low @ f.u).round(9))), sorted(map(tuple, a)), atol=1e-8)
+    double = {**five, "R4": five["R4"].withColumn("extra", F.col("Y41") * 3)}
+    t = JoinTree(("R2", "R5", "R4"), double)
+    assert decompose.lu(t).rank == len(t.features) - 1
+    assert decompose.lu(t).pivot_keys[0].keys() == {"X12", "X24", "X25"} - ({"X12"} if "X12" not in t.root.keys else set())
+
+
+def test_concatenation(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, x double")
+    b = spark.createDataFrame([(2, 5.0), (3, 6.0)], "k long, y double")
+    assert sorted(map(tuple, matrix.beside(a, b, ["k"], 9.0).collect())) == [(1, 1.0, 9.0), (2, 2.0, 5.0), (3, 9.0, 6.0)]
+    assert sorted(map(tuple, matrix.below(a, b).collect())) == [(1, 1.0, 0.0), (2, 0.0, 5.0), (2, 2.0, 0.0), (3, 0.0, 6.0)]
+    with pytest.raises(ValueError, match="both sides"):
+        matrix.beside(a, a, ["k"])
+    with pytest.raises(ValueError, match="share no attribute"):
+        relational.natural_join(a.select("x"), b.select("y"))
 
 
 def test_lu_of_a_join(five):
@@ -241,7 +303,7 @@ def test_json_queries(spark, five):
         db.add(n, df)
     leaf = lambda n: {"operator": "relation", "relation": n}
     tree = {"operator": "natural_join", "central_relation": leaf("R1"), "children": [{"operator": "natural_join", "central_relation": leaf("R2"), "children": [leaf("R5"), leaf("R4")]}, leaf("R3")]}
-    ask = lambda op, **more: run_query(db, {"query": {"name": "q", "expression": "", "evaluation_hint": {"operator": op, "operands": [tree], **more}}}, Options())
+    ask = lambda op, **more: run_query(db, {"query": {"name": "q", "expression": "", "evaluation_hint": {"operator": op, "operands": [tree], **more}}}, Options(aliases=("JOIN",)))
     assert ask("eval_join").count() == 174
     assert ask("QR_JOIN", skip_attributes=["Y51"]).r.shape == (10, 10)
     assert ask("SVD_JOIN").sigma.shape == (11,)
@@ -250,10 +312,11 @@ def test_json_queries(spark, five):
     assert spark.table("J").count() == 174
     with pytest.raises(ValueError, match="preorder"):
         ask("QR_JOIN", relation_order=["R2", "R1", "R5", "R4", "R3"])
-    for bad in ("GIV_QR", "QR_", "FOO", "QR_9"):
+    assert ask("QR_TREE", root="best").r.shape == (11, 11)
+    for bad in ("GIV_QR", "QR_", "FOO", "QR_9", "QR_HOUSHOLDER", "LIN_REG_X"):
         with pytest.raises(ValueError, match="unknown operator"):
             operator(bad)
-    assert operator("PCA_EIGEN_DECOMP") == ("pca", "eigen") and operator("LIN_REG_X") == ("lls", "")
+    assert operator("PCA_EIGEN_DECOMP") == ("pca", "eigen") and operator("LIN_REG_TREE") == ("lls", "") and operator("QR_X", ["X"]) == ("qr", "")
 
 
 def test_streaming_factor(spark, tmp_path):

@@ -20,7 +20,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("query")
     p.add_argument("--base", help="folder that relative data paths start from")
     p.add_argument("--method", choices=["divide_and_conquer", "qr_iter", "power_iter", "eigen"])
-    p.add_argument("--factor", choices=["heads_tails", "cofactor", "auto"], default="heads_tails")
+    p.add_argument("--factor", choices=["heads_tails", "cofactor", "auto"], default="auto")
+    p.add_argument("--factorised", action="append", default=[], metavar="SUFFIX", help="another suffix of operators that means factorised, beside TREE")
     p.add_argument("--percent", type=float, default=100.0)
     p.add_argument("--iterations", type=int, default=10_000)
     p.add_argument("--compute-all", action="store_true", default=None)
@@ -30,7 +31,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("treefold").getOrCreate()
     ship(spark)
     began = time.time()
-    found = run_query(Database.from_config(spark, a.database, a.base).load_all(), a.query, Options(a.method, a.percent, a.iterations, a.compute_all, a.factor))
+    found = run_query(Database.from_config(spark, a.database, a.base).load_all(), a.query, Options(a.method, a.percent, a.iterations, a.compute_all, a.factor, aliases=tuple(a.factorised)))
     if not isinstance(found, Factors):
         found = Factors(found.columns, rows=found)
     parts = {k: getattr(found, k) for k in ("r", "u", "sigma", "v")}

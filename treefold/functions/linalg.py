@@ -49,8 +49,14 @@ def givens_upper(a: np.ndarray) -> np.ndarray:
 
 
 def cholesky_upper(gram: np.ndarray) -> np.ndarray:
-    """R with R'R = gram; gram must have full rank."""
-    return np.linalg.cholesky(gram).T
+    """R with R'R = gram. A Gram matrix that lacks rank, be it only up to rounding, raises LinAlgError."""
+    scale = np.sqrt(np.diag(gram))
+    if not (scale > 0).all():
+        raise np.linalg.LinAlgError("a column is zero")
+    low = np.linalg.cholesky(gram / np.outer(scale, scale))  # unit columns, so pivots tell how much of a column is new
+    if (np.diag(low) ** 2).min() < 64 * len(gram) * np.finfo(float).eps:
+        raise np.linalg.LinAlgError("the columns are dependent up to rounding")
+    return low.T * scale
 
 
 def gram_schmidt(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +167,12 @@ def condition_number(r: np.ndarray) -> float:
     return float(s[0] / s[-1]) if s[-1] else float("inf")
 
 
+def scaled_condition(r: np.ndarray) -> float:
+    """The condition number with unit columns, which is what a Cholesky factorisation squares."""
+    size = np.linalg.norm(r, axis=0)
+    return condition_number(r / size) if (size > 0).all() else float("inf")
+
+
 def kept(percent: float, n: int) -> int:
     """Singular vectors that a percentage of n stands for."""
     return min(n, int(percent * n / 100))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..plans.tree import JoinTree, Node
-from .counts import LARGE, estimated_bytes, spread
+from .counts import spread
 from .headtail import Block
 
 #: Up to this many features a Gram matrix is one row of sums; beyond, partitions add up matrices in numpy.
@@ -38,7 +38,8 @@ def _folded(rows: DataFrame, columns: Sequence[str], tag: int) -> DataFrame:
 
 
 def _merged(factors: DataFrame, widths: Sequence[int], fan_in: int) -> list[np.ndarray]:
-    """The upper factor of every block: a tree of streaming merges, one job for all blocks."""
+    """The upper factor of every block, in one job: however many partitions the factors lie in, at most fan_in tasks merge
+    theirs as they stream by, one factor of each block in memory, and the driver merges what those give."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -49,10 +50,8 @@ def _merged(factors: DataFrame, widths: Sequence[int], fan_in: int) -> list[np.n
         if known:
             yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.int32()), pa.array([np.ascontiguousarray(r).tobytes() for r in known.values()], pa.binary())], ["block", "r"])
 
-    width = int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while width > fan_in:
-        width = -(-width // fan_in)
-        factors = factors.repartition(width).mapInArrow(merge, "block int, r binary")
+    tasks = min(fan_in, int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    factors = factors.repartition(tasks).mapInArrow(merge, "block int, r binary")
     parts: list[list[np.ndarray]] = [[np.zeros((0, n))] for n in widths]
     for tag, r in factors.collect():  # at most fan_in factors a block
         parts[tag].append(np.frombuffer(bytes(r), "<f8").reshape(-1, widths[tag]))
@@ -60,7 +59,7 @@ def _merged(factors: DataFrame, widths: Sequence[int], fan_in: int) -> list[np.n
 
 
 def tsqr(rows: DataFrame, columns: Sequence[str], fan_in: int = 32) -> np.ndarray:
-    """The upper factor of a tall matrix: every partition folds its batches into an n x n factor, a tree folds the factors.
+    """The upper factor of a tall matrix: every partition folds its batches into an n x n factor, then the factors are folded.
 
     A task holds one batch and one factor at a time; the driver gets at most fan_in factors.
     """
@@ -116,11 +115,21 @@ def from_row(row, n: int) -> np.ndarray:
     return out
 
 
+#: Columns up to which Spark generates code for an aggregate (spark.sql.codegen.maxFields).
+GENERATED_FIELDS = 100
+
+
+def fits_generated_code(n: int) -> bool:
+    """Whether count, sums and products of n features stay below that many columns."""
+    return 1 + n + n * (n + 1) // 2 <= GENERATED_FIELDS
+
+
 def cofactors(tree: JoinTree) -> DataFrame:
     """A'A of the natural join as one row g_i_j, by counts, sums and sums of products pushed through the tree.
 
     Each relation is grouped by its parent keys before it meets its parent, so no join ever has more rows than the
-    relation above it; hot keys are summed on the map side first, and in large relations split by the join. Everything stays in generated JVM code.
+    relation above it; hot keys are summed on the map side first and split by the join. With few features everything stays
+    in generated JVM code (see fits_generated_code); with more, upper_factor's orthogonal way carries fewer columns.
     """
 
     def up(node: Node) -> tuple[DataFrame, list[str]]:
@@ -128,7 +137,7 @@ def cofactors(tree: JoinTree) -> DataFrame:
         rows = node.df.select(*node.keys, F.lit(1.0).alias("__c"), *[F.col(x).alias(f"s|{x}") for x in f], *[(F.col(x) * F.col(y)).alias(f"q|{x}|{y}") for i, x in enumerate(f) for y in f[i:]])
         for child in node.children:
             below, g = up(child)
-            rows = _product(rows, f, spread(below, estimated_bytes(node.df) >= LARGE), g, child.parent_keys, node.keys)
+            rows = _product(rows, f, spread(below), g, child.parent_keys, node.keys)
             f += g
         keys = [] if node.is_root else node.parent_keys
         sums = [F.sum(F.col(f"`{c}`")).alias(c) for c in rows.columns if c not in node.keys]

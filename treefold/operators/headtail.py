@@ -4,8 +4,12 @@ For a group of rows y_1..y_v with weights w_j the head is the weighted mean dire
 like rotations leave orthogonal to it; both are running sums. Heads travel up the tree (one row a key), tails stay behind
 as finished rows of the reduced matrix M, for which M'M = A'A with A the materialised join.
 
-Rows are ordered by all feature columns inside a group: ties are equal rows, so the set of tails is deterministic. A hot
-key is split into ``salts`` groups whose heads are then combined like the rows of one group, which is exact.
+Rows are ordered by all feature columns inside a group: ties are equal rows, so the set of tails is deterministic.
+
+Where only M'M counts, as for R, tails need no order: a group's rows less their mean (weighted: less their share of the
+head) are the same tails turned by an orthogonal matrix. ``blocks(centred=True)`` makes them so, by a join with the heads in
+place of a window: no group is ever gathered or sorted, heads are summed on the map side, and adaptive execution splits
+the join at a hot key.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.tree import JoinTree, Node
-from .counts import NodeCounts, all_counts, spread
+from .counts import NodeCounts, all_counts, keep, spread
 
 SCALE = "__scale"
 
@@ -69,10 +73,22 @@ def weighted_tails(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     return ranked.where("__i > 1").select(*keys, *cells)
 
 
-def _times(rows: DataFrame, keys: Sequence[str], weights: DataFrame, column: str, features: Sequence[str], hot: bool = False) -> DataFrame:
+def _times(rows: DataFrame, keys: Sequence[str], weights: DataFrame, column: str, features: Sequence[str]) -> DataFrame:
     """rows' features times the root of a count that is joined on by key."""
     root = F.sqrt(F.col(column))
-    return rows.join(spread(weights.select(*keys, column), hot), list(keys)).select(*keys, *[(F.col(f) * root).alias(f) for f in features])
+    return rows.join(spread(weights.select(*keys, column)), list(keys)).select(*keys, *[(F.col(f) * root).alias(f) for f in features])
+
+
+def centred(rows: DataFrame, heads_of: DataFrame, keys: Sequence[str], weights: DataFrame, column: str, features: Sequence[str], scale: Column | None = None) -> DataFrame:
+    """rows less their share of their group's head, times the root of a count: (row - scale * head / head's scale) * root.
+
+    Orthogonally equivalent to tails (scale None: all rows weigh one) and weighted tails; inner joins drop dangling rows.
+    """
+    stats = heads_of.join(weights.select(*keys, column), list(keys)).select(
+        *keys, F.sqrt(F.col(column)).alias("__root"), *[(F.col(f) / F.col(SCALE)).alias(f"__m_{f}") for f in features]
+    )
+    part = (lambda f: F.col(f"__m_{f}")) if scale is None else (lambda f: scale * F.col(f"__m_{f}"))
+    return rows.join(spread(stats), list(keys)).select(*keys, *[((F.col(f) - part(f)) * F.col("__root")).alias(f) for f in features])
 
 
 def aggregate_away(own: DataFrame, node: Node, below: dict[str, DataFrame]) -> DataFrame:
@@ -94,7 +110,7 @@ def aggregate_away(own: DataFrame, node: Node, below: dict[str, DataFrame]) -> D
     return joined.select(*node.keys, *cells, but("-").alias(SCALE))
 
 
-def blocks(tree: JoinTree, salts: int = 1, counts: dict[str, NodeCounts] | None = None) -> list[Block]:
+def blocks(tree: JoinTree, counts: dict[str, NodeCounts] | None = None, centred_tails: bool = False, kept: list[DataFrame] | None = None) -> list[Block]:
     """The reduced matrix of a tree, block by block: tails, generalised tails, and the root's heads.
 
     Dangling rows drop out at the joins with the counts: all rows of a key share their fate.
@@ -103,32 +119,33 @@ def blocks(tree: JoinTree, salts: int = 1, counts: dict[str, NodeCounts] | None
 
     def visit(node: Node) -> DataFrame:
         below = {c.name: visit(c) for c in node.children}
-        c = counts[node.name]
-        if node.features:
-            rows, keys = node.df, node.keys
-            if salts > 1:
-                salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*node.features), F.lit(salts)).cast("int"))
-                inner = tails(salted, [*keys, "__salt"], node.features).drop("__salt")
-                part = heads(salted, [*keys, "__salt"], node.features)
-                own = weighted_heads(part, keys, node.features)
-                both = inner.unionByName(weighted_tails(part, keys, node.features))
+        c, keys, own_features = counts[node.name], node.keys, node.features
+        if own_features:
+            own = keep(heads(node.df, keys, own_features), kept)
+            if centred_tails:
+                rows = centred(node.df, own, keys, c.by_key, "circle", own_features)
             else:
-                own, both = heads(rows, keys, node.features), tails(rows, keys, node.features)
-            out.append(Block(f"tail_{node.name}", node.features, _times(both, keys, c.by_key, "circle", node.features, salts > 1)))
+                rows = _times(tails(node.df, keys, own_features), keys, c.by_key, "circle", own_features)
+            out.append(Block(f"tail_{node.name}", own_features, rows))
         else:
-            own = node.df.groupBy(*node.keys).agg(F.sqrt(F.count("*")).alias(SCALE))
+            own = node.df.groupBy(*keys).agg(F.sqrt(F.count("*")).alias(SCALE))
         features = node.subtree_features()
         joined = aggregate_away(own, node, below) if node.children else own
-        if set(node.parent_keys) == set(node.keys) and not node.is_root:
+        if set(node.parent_keys) == set(keys) and not node.is_root:
             return joined  # one row a key already
-        keys = node.parent_keys
         if node.is_root:
             if features:
-                out.append(Block(f"head_{node.name}", features, joined.select(*keys, *features)))
+                out.append(Block(f"head_{node.name}", features, joined.select(*node.parent_keys, *features)))
             return joined
+        keys = node.parent_keys
+        up = keep(weighted_heads(joined, keys, features), kept)
         if features:
-            out.append(Block(f"gen_tail_{node.name}", features, _times(weighted_tails(joined, keys, features), keys, c.by_parent, "up", features)))
-        return weighted_heads(joined, keys, features)
+            if centred_tails:
+                rows = centred(joined, up, keys, c.by_parent, "up", features, F.col(SCALE))
+            else:
+                rows = _times(weighted_tails(joined, keys, features), keys, c.by_parent, "up", features)
+            out.append(Block(f"gen_tail_{node.name}", features, rows))
+        return up
 
     visit(tree.root)
     return out

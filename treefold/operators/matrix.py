@@ -28,6 +28,21 @@ def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     return add(left, right, keys, -1)
 
 
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str], pad: float = 0.0) -> DataFrame:
+    """Horizontal concatenation of matrices whose rows are named by keys; a row that one of them lacks is padded there."""
+    a, b = _values(left, keys), _values(right, keys)
+    if clash := set(a) & set(b):
+        raise ValueError(f"both sides have columns {sorted(clash)}")
+    return left.join(right, list(keys), "full_outer").select(*keys, *[F.coalesce(F.col(c), F.lit(float(pad))).alias(c) for c in [*a, *b]])
+
+
+def below(upper: DataFrame, lower: DataFrame, pad: float = 0.0) -> DataFrame:
+    """Vertical concatenation by column name; a column that one of them lacks is padded there."""
+    names = [*upper.columns, *(c for c in lower.columns if c not in upper.columns)]
+    rows = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(float(pad)).alias(c) for c in names])
+    return rows(upper).unionAll(rows(lower))
+
+
 def multiply(df: DataFrame, m: np.ndarray, keys: Sequence[str] = (), start: int = 0, prefix: str = "c") -> DataFrame:
     """Values times the rows of m from ``start`` on; keys stay."""
     names = _values(df, keys)

@@ -77,8 +77,11 @@ def cartesian(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that agree in all shared columns. Relations that share none have no join to push down: see cartesian."""
     shared = [c for c in left.columns if c in right.columns]
-    return left.join(right, shared, "inner") if shared else left.crossJoin(right)
+    if not shared:
+        raise ValueError("the relations share no attribute")
+    return left.join(right, shared, "inner")
 
 
 def materialise(tree: JoinTree) -> DataFrame:

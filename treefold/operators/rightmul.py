@@ -37,29 +37,37 @@ def right_multiply(tree: JoinTree, m: np.ndarray, prefix: str = "c", keep_featur
     return build(tree.root).select(*keys, *(tree.features if keep_features else []), *[F.col(f"__{tree.root.name}_{j}").alias(f"{prefix}{j + 1}") for j in range(k)])
 
 
-def extreme_row(tree: JoinTree, z: np.ndarray) -> np.ndarray | None:
-    """The join row a whose |a . z| is largest, found by (max, +) and (min, +) aggregates pushed through the tree.
+def extreme_row(tree: JoinTree, z: np.ndarray) -> tuple[np.ndarray, dict] | None:
+    """The join row a whose |a . z| is largest and its join attributes, found by (max, +) aggregates pushed through the tree.
 
-    Ties go to the larger value of a . z, then to the larger row. No join row is built except the answer.
+    Both signs go through the tree together: one job. Ties go to the larger value of a . z, then to the larger row, by
+    features first. No join row is built except the answer.
     """
     place = {f: i for i, f in enumerate(tree.features)}
+    signs = ("__hi", "__lo")
 
-    def up(node: Node, sign: float) -> tuple[DataFrame, list[str]]:
-        score = combination(node.features, sign * z[[place[f] for f in node.features]]) if node.features else F.lit(0.0)
-        rows, names = node.df.select(*node.keys, *node.features, score.alias("__score")), list(node.features)
+    def up(node: Node) -> tuple[DataFrame, list[str], list[str]]:
+        score = combination(node.features, z[[place[f] for f in node.features]]) if node.features else F.lit(0.0)
+        rows, names, keys = node.df.select(*node.keys, *node.features, score.alias("__score")), list(node.features), list(node.keys)
+        best = {"__hi": F.col("__score"), "__lo": -F.col("__score")}
+        cells = {s: {c: F.col(c) for c in [*names, *keys]} for s in signs}
         for child in node.children:
-            below, more = up(child, sign)
-            rows = rows.join(below.withColumnRenamed("__score", "__below"), child.parent_keys)
+            below, more, more_keys = up(child)
+            rows = rows.join(below.select(*child.parent_keys, *[F.col(s).alias(f"{s}_{child.name}") for s in signs]), child.parent_keys)
             names += more
-            rows = rows.select(*node.keys, *names, (F.col("__score") + F.col("__below")).alias("__score"))
-        best = F.max(F.struct("__score", *names)).alias("b")
-        keys = [] if node.is_root else node.parent_keys
-        found = rows.groupBy(*keys).agg(best) if keys else rows.agg(best)
-        return found.select(*keys, F.col("b.__score").alias("__score"), *[F.col(f"b.{n}").alias(n) for n in names]), names
+            fresh = [k for k in more_keys if k not in keys]
+            keys += fresh
+            for s in signs:
+                of = F.col(f"{s}_{child.name}")
+                best[s] = best[s] + of.getField("__score")
+                cells[s] |= {c: of.getField(c) for c in [*more, *fresh]}
+        found = rows.select(*node.keys, *[F.struct(best[s].alias("__score"), *[cells[s][c].alias(c) for c in [*names, *keys]]).alias(s) for s in signs])
+        most = [F.max(s).alias(s) for s in signs]
+        return (found.agg(*most) if node.is_root else found.groupBy(*node.parent_keys).agg(*most)), names, keys
 
-    found = []
-    for sign in (1.0, -1.0):
-        row = up(tree.root, sign)[0].first()
-        if row is not None and row["__score"] is not None:
-            found.append((row["__score"], sign, np.array([row[f] for f in tree.features])))
-    return max(found, key=lambda x: x[:2])[2] if found else None
+    total, _, keys = up(tree.root)
+    row = total.first()
+    if row is None or row["__hi"] is None:
+        return None
+    best = row["__hi"] if row["__hi"]["__score"] >= row["__lo"]["__score"] else row["__lo"]
+    return np.array([best[f] for f in tree.features], float), {k: best[k] for k in keys}

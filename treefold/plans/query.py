@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..operators import decompose, relational
 from ..operators.decompose import Factors
 from ..sources.relation import Database
-from .tree import JoinTree, Shape, attributes_of
+from .tree import JoinTree, Shape, attributes_of, best_root
 
 #: Suffixes of operators over one materialised relation, and the methods they stand for (fixed values).
 METHODS = {
@@ -23,38 +23,44 @@ METHODS = {
     },
 }
 METHODS["PCA"] = METHODS["SVD"]
+#: The suffix of factorised operators; a caller may name others that stand for it.
+FACTORISED = "TREE"
 
 
-def operator(name: str) -> tuple[str, str]:
+def operator(name: str, aliases: Sequence[str] = ()) -> tuple[str, str]:
     """Kind and method of an operator name.
 
-    QR_x, LU_x, SVD_x and PCA_x with an x from METHODS name an algorithm; any other single word x names the factorised
-    operator. LIN_REG solves normal equations; LIN_REG_x and LLS_QR solve least squares by QR.
+    QR_x, LU_x, SVD_x and PCA_x with an x from METHODS name an algorithm; with x = TREE or one of ``aliases``, the
+    factorised operator. LIN_REG solves normal equations; LIN_REG_x (x as before) and LLS_QR solve least squares by QR.
     """
+    factorised = (FACTORISED, *aliases)
     if name == "eval_join":
         return "join", ""
     if name == "LIN_REG":
         return "lin_reg", ""
-    if name == "LLS_QR" or name.startswith("LIN_REG_") and name[8:].isalpha():
+    if name == "LLS_QR" or name.startswith("LIN_REG_") and name[8:] in factorised:
         return "lls", ""
     kind, _, suffix = name.partition("_")
     if kind in METHODS and suffix in METHODS[kind]:
         return kind.lower(), METHODS[kind][suffix]
-    if kind in METHODS and suffix.isalpha():
+    if kind in METHODS and suffix in factorised:
         return kind.lower(), "divide_and_conquer" if kind in ("SVD", "PCA") else ""
-    raise ValueError(f"unknown operator {name!r}")
+    known = ", ".join(f"{k}_{x}" for k, m in METHODS.items() for x in (*m, *factorised))
+    raise ValueError(f"unknown operator {name!r}; known are eval_join, LIN_REG, LLS_QR, {known}; name other suffixes of factorised operators as aliases")
 
 
 @dataclass
 class Options:
-    """What a call may override: inner algorithm, share of singular vectors, iterations, and whether rows are wanted."""
+    """What a call may override: inner algorithm, share of singular vectors, iterations, whether rows are wanted, and
+    suffixes of operator names that stand for the factorised operator."""
 
     method: str | None = None
     percent: float = 100.0
     iterations: int = 10_000
     compute_all: bool | None = None
-    factor: str = "heads_tails"
+    factor: str = "auto"
     categories: dict[str, list[str]] = field(default_factory=dict)
+    aliases: tuple[str, ...] = ()
 
 
 def shape_of(node: Mapping) -> Shape:
@@ -92,6 +98,8 @@ def tree_of(db: Database, hint: Mapping, options: Options | None = None) -> Join
     order = hint.get("relation_order")
     if order and list(order) != names:
         raise ValueError(f"relation_order {order} is not the preorder {names} of the join tree")
+    if hint.get("root") == "best":  # the columns come in the new tree's preorder
+        shape = best_root(shape, frames)
     return JoinTree(shape, frames)
 
 
@@ -117,7 +125,7 @@ def _run(db: Database, hint: Mapping, options: Options) -> Factors | DataFrame:
         return rows
     if name in ("natural_join", "relation"):
         return _run(db, {"operator": "eval_join", "operands": [hint]}, options)
-    kind, method = operator(name)
+    kind, method = operator(name, options.aliases)
     tree = tree_of(db, hint, options)
     if kind == "join":
         return relational.materialise(tree)

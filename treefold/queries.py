@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import counts, decompose, factor, headtail, matrix, relational
+from .plans import tree as plans_tree
 from .plans.query import Options, run_query
 from .plans.tree import JoinTree
 from .functions import linalg
+from .functions.timing import Timers
 from .sources import generators
+from .sources.scratch import scratch
 from .sources.relation import Database, random_relation, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,7 +356,8 @@ def _register_upper() -> None:
         run.__name__ = name
         query(_R2)(run)
 
-    on("qr_r_factorized", "heads_tails", True)
+    on("qr_r_factorized", "auto", True)
+    on("qr_r_heads_tails", "heads_tails", True)
     on("qr_r_cofactor", "cofactor", True)
     on("qr_r_householder", "heads_tails", False)
     on("qr_r_cholesky", "cofactor", False)
@@ -379,7 +383,18 @@ def qr_r_snowflake(spark, sf_dir):
 
 @query(_chol_sql("t4", ["c_acctbal", "o_totalprice", "s_acctbal"], 4))
 def qr_r_deep(spark, sf_dir):
-    return cells_row(spark, decompose.upper_factor(tree(spark, sf_dir, "t4")), "r", digits=4)
+    return cells_row(spark, decompose.upper_factor(tree(spark, sf_dir, "t4"), "heads_tails"), "r", digits=4)
+
+
+@query(_chol_sql("t4", ["c_acctbal", "o_totalprice", "s_acctbal"], 4))
+def qr_r_deep_materialized(spark, sf_dir):
+    t = tree(spark, sf_dir, "t4")
+    return cells_row(spark, decompose.upper_factor(decompose.single(relational.materialise(t), features=t.features), "heads_tails"), "r", digits=4)
+
+
+@query(_chol_sql("t2", ["c_acctbal", "s_acctbal"], 5))
+def qr_r_cholesky_qr2(spark, sf_dir):
+    return cells_row(spark, decompose.qr(tree(spark, sf_dir, "t2"), method="cholesky_qr2").r, "r", digits=5)
 
 
 @query(_chol_sql("t4", ["c_acctbal", "o_totalprice", "s_acctbal"], 4))
@@ -443,6 +458,40 @@ def svd_u(spark, sf_dir):
     return rounded(u, u.columns, 7)
 
 
+_D3 = ["c_acctbal", "o_totalprice", "s_acctbal"]
+#: Singular values of a three-column join, by the closed form for the eigenvalues of a symmetric 3 x 3 matrix.
+_SIGMA3 = ctes("t4") + """, g AS (SELECT count(*) AS n, avg(c_acctbal * c_acctbal) AS a, avg(o_totalprice * o_totalprice) AS b, avg(s_acctbal * s_acctbal) AS c,
+  avg(c_acctbal * o_totalprice) AS d, avg(o_totalprice * s_acctbal) AS e, avg(c_acctbal * s_acctbal) AS f FROM j),
+q AS (SELECT *, (a + b + c) / 3 AS q FROM g),
+p AS (SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+r AS (SELECT *, acos(((a - q) * ((b - q) * (c - q) - e * e) - d * (d * (c - q) - e * f) + f * (d * e - (b - q) * f)) / (p * p * p) / 2) / 3 AS phi FROM p),
+l AS (SELECT q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3, q FROM r)
+SELECT """ + r9("sqrt(l1)", "s1", 6) + ", " + r9("sqrt(3 * q - l1 - l3)", "s2", 6) + ", " + r9("sqrt(l3)", "s3", 6) + " FROM l"
+
+
+def _per_row(spark, sf_dir, found) -> DataFrame:
+    """Singular values over the root of the join's size, so that they compare at every scale."""
+    n = counts.join_size(tree(spark, sf_dir, "t4")).first()[0]
+    return vector_row(spark, found.sigma / np.sqrt(n), "s", 6)
+
+
+@query(_SIGMA3)
+def svd_sigma_deep(spark, sf_dir):
+    return _per_row(spark, sf_dir, decompose.svd(tree(spark, sf_dir, "t4")))
+
+
+@query(_SIGMA3)
+def svd_sigma_deep_materialized(spark, sf_dir):
+    t = tree(spark, sf_dir, "t4")
+    return _per_row(spark, sf_dir, decompose.svd(decompose.single(relational.materialise(t), features=t.features), factor="heads_tails"))
+
+
+@query(_EIG2 + " SELECT nationkey, " + r9("c_acctbal * v11 + s_acctbal * v21", "p1", 7) + " FROM j CROSS JOIN z")
+def pca_half(spark, sf_dir):
+    rows = decompose.pca(tree(spark, sf_dir, "t2"), percent=50).rows
+    return rounded(rows, rows.columns, 7)
+
+
 # --- regression, LU ---------------------------------------------------------------------------------------------------
 
 _OLS = ctes("t1") + """, g AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * c_acctbal) AS b, sum(c_acctbal * c_acctbal) AS d, sum(l_quantity * o_totalprice) AS p, sum(c_acctbal * o_totalprice) AS q FROM j)
@@ -509,6 +558,66 @@ def lu_l_factorized(spark, sf_dir):
     return rounded(rows, rows.columns, 7)
 
 
+_BY = "ORDER BY abs({0}) DESC, {0} DESC, c_acctbal DESC, o_totalprice DESC, s_acctbal DESC LIMIT 1"
+_LU3 = ctes("t4") + f""", p1 AS (SELECT c_acctbal AS u11, o_totalprice AS u12, s_acctbal AS u13 FROM j {_BY.format("c_acctbal")}),
+d1 AS (SELECT *, o_totalprice - c_acctbal / u11 * u12 AS b, s_acctbal - c_acctbal / u11 * u13 AS c FROM j CROSS JOIN p1),
+p2 AS (SELECT b AS u22, c AS u23 FROM d1 {_BY.format("b")}),
+p3 AS (SELECT c - b / u22 * u23 AS u33 FROM d1 CROSS JOIN p2 ORDER BY abs(c - b / u22 * u23) DESC, c - b / u22 * u23 DESC LIMIT 1)"""
+
+
+@query(_LU3 + " SELECT " + ", ".join(r9(c, c, 8) for c in ("u11", "u12", "u13", "u22", "u23", "u33")) + " FROM p1 CROSS JOIN p2 CROSS JOIN p3")
+def lu_u_deep(spark, sf_dir):
+    return cells_row(spark, decompose.lu(tree(spark, sf_dir, "t4")).u, "u", digits=8)
+
+
+@query(
+    "WITH a AS (SELECT c_acctbal / 1e4 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer), p AS (SELECT x AS u11, 2 * x AS u12, y AS u13 FROM a ORDER BY abs(x) DESC, x DESC, y DESC LIMIT 1), "
+    "d AS (SELECT y - x / u11 * u13 AS u33 FROM a CROSS JOIN p ORDER BY abs(y - x / u11 * u13) DESC LIMIT 1) SELECT " + ", ".join(r9(c, c) for c in ("u11", "u12", "u13", "0.0", "u33")).replace("AS 0.0", "AS u22") + ", 0.0 AS u23 FROM p CROSS JOIN d"
+)
+def lu_rank_deficient(spark, sf_dir):
+    """The second column is twice the first: a zero pivot."""
+    x = F.col("c_acctbal") / 1e4
+    rows = table(spark, sf_dir, "customer").select(x.alias("x"), (2 * x).alias("x2"), F.col("c_nationkey").cast("double").alias("y"))
+    return cells_row(spark, decompose.lu(decompose.single(rows)).u, "u")
+
+
+@query(
+    ctes("t2") + """, p AS (SELECT * FROM j ORDER BY abs(c_acctbal) DESC, c_acctbal DESC, s_acctbal DESC, nationkey DESC LIMIT 1),
+d AS (SELECT j.*, j.s_acctbal - j.c_acctbal / p.c_acctbal * p.s_acctbal AS r FROM j CROSS JOIN p),
+q AS (SELECT * FROM d ORDER BY abs(r) DESC, r DESC, c_acctbal DESC, s_acctbal DESC, nationkey DESC LIMIT 1)
+SELECT CAST(1 AS INTEGER) AS step, nationkey, """ + r9("c_acctbal", "c_acctbal") + ", " + r9("s_acctbal", "s_acctbal") + " FROM p UNION ALL SELECT 2, nationkey, " + r9("c_acctbal", "c") + ", " + r9("s_acctbal", "s") + " FROM q"
+)
+def lu_permutation(spark, sf_dir):
+    """The pivot rows of a join in their order: join attributes and values."""
+    f = decompose.lu(tree(spark, sf_dir, "t2"))
+    rows = [(i + 1, k["nationkey"], *(round(float(x), 9) + 0.0 for x in row)) for i, (k, row) in enumerate(zip(f.pivot_keys, f.pivots))]
+    return spark.createDataFrame(rows, "step int, nationkey long, c_acctbal double, s_acctbal double")
+
+
+# --- dense kernels ------------------------------------------------------------------------------------------------------
+
+_BACK = _chol_sql("t4", _D3[::-1], 4)
+
+
+def _register_kernels() -> None:
+    """The factor of the join with its columns in reverse, by each kernel from the factor in order."""
+    for name, kernel in (("givens", linalg.givens_upper), ("gram_schmidt", lambda a: linalg.positive_diagonal(linalg.gram_schmidt(a)[1])), ("householder", lambda a: linalg.householder_qr(a)[1])):
+        query(_BACK, f"kernel_{name}")(lambda spark, sf_dir, kernel=kernel: cells_row(spark, kernel(decompose.upper_factor(tree(spark, sf_dir, "t4"))[:, ::-1]), "r", digits=4))
+
+
+_register_kernels()
+
+
+@query(
+    ctes("t4") + ", g AS (SELECT " + ", ".join(f"avg({a} * {b}) AS g{i + 1}{k + 1}" for i, a in enumerate(_D3) for k, b in enumerate(_D3) if i <= k) + " FROM j), e AS (SELECT *, g22 - g12 * g12 / g11 AS h22, g23 - g12 * g13 / g11 AS h23, g33 - g13 * g13 / g11 AS h33 FROM g) SELECT "
+    + ", ".join(r9(x, f"u{n}", 6) for x, n in (("g11", 11), ("g12", 12), ("g13", 13), ("h22", 22), ("h23", 23), ("h33 - h23 * h23 / h22", 33))) + " FROM e"
+)
+def kernel_elimination(spark, sf_dir):
+    """U of the Gram matrix by elimination with the first non-zero pivot."""
+    t = tree(spark, sf_dir, "t4")
+    return cells_row(spark, linalg.lu_first_pivot(factor.factorised_gram(t) / counts.join_size(t).first()[0]), "u", digits=6)
+
+
 # --- matrix arithmetic and checks ---------------------------------------------------------------------------------------
 
 
@@ -544,6 +653,20 @@ def mat_multiply_t(spark, sf_dir):
     return rounded(p.select(*[(F.col(c) / n).alias(c) for c in p.columns]), p.columns, 5)
 
 
+@query(_K + " SELECT k, " + r9("x", "x") + ", CASE WHEN y >= 10 THEN y ELSE -1 END AS y FROM a")
+def mat_beside(spark, sf_dir):
+    """Horizontal concatenation; rows that one side lacks are padded with -1."""
+    a = _keyed(spark, sf_dir)
+    return rounded(m := matrix.beside(a.select("k", "x"), a.where("y >= 10").select("k", "y"), ["k"], -1.0), m.columns)
+
+
+@query(_K + " SELECT " + r9("x", "x") + ", 0.0 AS y FROM a UNION ALL SELECT 0.0, y FROM a")
+def mat_below(spark, sf_dir):
+    """Vertical concatenation; columns that one side lacks are padded with zero."""
+    a = _keyed(spark, sf_dir)
+    return rounded(m := matrix.below(a.select("x"), a.select("y")), m.columns)
+
+
 @query(_K + " SELECT k, " + r9("x * 2", "x") + ", " + r9("y * 0.5", "y") + " FROM a")
 def mat_rect_diag(spark, sf_dir):
     return rounded(m := matrix.multiply_diagonal(_keyed(spark, sf_dir), [2, 0.5], ["k"]), m.columns)
@@ -595,14 +718,166 @@ def inverse_r(spark, sf_dir):
 
 @query("SELECT s_suppkey AS k, " + r9("s_acctbal", "x", 4) + " FROM supplier")
 def csv_roundtrip(spark, sf_dir):
-    import uuid
-
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/treefold-csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     write_csv(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("double").alias("k"), F.col("s_acctbal").alias("x")), path)
     db = Database.from_config(spark, {"database": {"relations": [{"name": "s", "data_path": path, "attributes": [{"name": "k", "type": "double"}, {"name": "x", "type": "double"}]}]}})
     return rounded(db.load("s").select(F.col("k").cast("bigint").alias("k"), "x"), ["k", "x"], 4)
 
 
+def _database(spark, sf_dir) -> Database:
+    """Supplier and nation by a schema, from their Parquet files."""
+    attributes = lambda **kinds: [{"name": n, "type": k} for n, k in kinds.items()]
+    return Database.from_config(spark, {"database": {"relations": [
+        {"name": "supplier", "data_path": f"{sf_dir}/supplier.parquet", "primary_key": ["s_suppkey"], "attributes": attributes(s_suppkey="int", s_nationkey="category", s_acctbal="double")},
+        {"name": "nation", "data_path": f"{sf_dir}/nation.parquet", "primary_key": ["n_nationkey"], "attributes": attributes(n_nationkey="int", n_regionkey="category")},
+    ]}}).load_all()
+
+
+@query(" UNION ALL ".join(f"SELECT '{r}' AS relation, count(*) AS n_rows, CAST({c} AS INTEGER) AS n_columns, count(*) * {c} AS n_values, count(*) * {8 * c} AS n_bytes FROM {r}" for r, c in (("nation", 2), ("supplier", 3))))
+def load_all_report(spark, sf_dir):
+    return _database(spark, sf_dir).report()
+
+
+@query("SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS s_nationkey, " + r9("s_acctbal", "s_acctbal", 4) + " FROM supplier")
+def load_parquet(spark, sf_dir):
+    return rounded(df := _database(spark, sf_dir).load("supplier"), df.columns, 4)
+
+
+@query("SELECT * FROM (VALUES ('supplier', 's_nationkey'), ('nation', 'n_regionkey')) t(relation, attribute)")
+def category_lists(spark, sf_dir):
+    return spark.createDataFrame([(n, c) for n, s in _database(spark, sf_dir).schemas.items() for c in s.categories], "relation string, attribute string")
+
+
+@query("SELECT * FROM (VALUES ('supplier', 's_suppkey', 'int'), ('supplier', 's_nationkey', 'category'), ('supplier', 's_acctbal', 'double'), ('nation', 'n_nationkey', 'int'), ('nation', 'n_regionkey', 'category')) t(relation, attribute, kind)")
+def config_roundtrip(spark, sf_dir):
+    again = Database.from_config(spark, _database(spark, sf_dir).config())
+    return spark.createDataFrame([(s.name, a.name, a.kind) for s in again.schemas.values() for a in s.attributes], "relation string, attribute string, kind string")
+
+
+@query("SELECT count(*) AS n_rows, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation")
+def table_roundtrip(spark, sf_dir):
+    """Relations saved as catalog tables, read back and dropped."""
+    import uuid
+
+    db = Database(spark)
+    db.add("nation", _database(spark, sf_dir).relations["nation"])
+    names = db.save_tables(f"treefold_{uuid.uuid4().hex}_")
+    try:
+        row = db.load_table(names[0], "again").agg(F.count("*").alias("n_rows"), F.sum("n_nationkey").alias("keys")).first()
+    finally:
+        db.drop_tables(names)
+    return spark.createDataFrame([tuple(row)], "n_rows long, keys long")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def rename_and_copy(spark, sf_dir):
+    db = _database(spark, sf_dir)
+    db.rename("nation", "land")
+    name = db.copy("land")
+    db.drop("land")
+    return db.memory_layout("column_major").relations[name]
+
+
+@query(ctes("t2") + " SELECT count(*) AS join_rows FROM j WHERE c_acctbal > 0")
+def recount_after_change(spark, sf_dir):
+    """The same tree over other rows: nothing that was computed before is reused."""
+    t = tree(spark, sf_dir, "t2")
+    counts.join_size(t).first()
+    return counts.join_size(t.with_frames({"customer": t.nodes[1].df.where("customer__c_acctbal > 0")}))
+
+
+@query("SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def natural_join_two(spark, sf_dir):
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return relational.natural_join(s.select("s_suppkey", "s_nationkey"), n.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
+
+
+@query("SELECT CAST(4 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT) AS cost")
+def reduced_size(spark, sf_dir):
+    t = tree(spark, sf_dir, "t2")
+    return spark.createDataFrame([(plans_tree.reduced_size(t, {n.name: n.df.count() for n in t.nodes}),)], "cost long")
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def shuffled_relation(spark, sf_dir):
+    return relational.shuffled(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+
+
+@query(ctes("t2") + ", d AS (SELECT nationkey, c_acctbal, s_acctbal FROM j), t AS (SELECT * FROM d ORDER BY nationkey DESC, c_acctbal DESC, s_acctbal DESC LIMIT (SELECT CAST(floor(count(*) * 0.05) AS BIGINT) FROM d)) SELECT nationkey, " + r9("c_acctbal", "c_acctbal") + " FROM v_customer WHERE (nationkey, c_acctbal) IN (SELECT (nationkey, c_acctbal) FROM t)")
+def reduce_to_top(spark, sf_dir):
+    """The customers that take part in the top twentieth of the join."""
+    t = tree(spark, sf_dir, "t2")
+    n = relational.reduce_to(t, relational.top_fraction(relational.materialise(t), 0.05)).nodes[1]
+    return rounded(n.df, [*n.keys, *n.features])
+
+
+@query("SELECT count(*) AS n_rows, true AS inside, true AS even FROM customer")
+def shrink_domain(spark, sf_dir):
+    """Nation keys mapped onto eight codes: all within the domain, equal keys to equal codes."""
+    df = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("code"), F.col("c_nationkey").alias("key"))
+    codes = relational.shrink_domain(df, "code", 8)
+    per = codes.groupBy("key").agg(F.count("*").alias("n"), F.min("code").alias("low"), F.max("code").alias("high"))
+    return per.agg(F.sum("n").alias("n_rows"), F.expr("min(low) >= 0 and max(high) < 8").alias("inside"), F.expr("bool_and(low = high)").alias("even"))
+
+
+@query("SELECT CAST(1000 AS BIGINT) AS n_rows, true AS inside")
+def uniform_relation(spark, sf_dir):
+    df = generators.uniform_relation(spark, 1000, 2, {"k": 10, "m": 3}, low=-1.0, high=1.0)
+    return df.agg(F.count("*").alias("n_rows"), F.expr("min(k) >= 1 and max(k) <= 10 and min(m) >= 1 and max(m) <= 3 and min(A1) >= -1 and max(A2) < 1").alias("inside"))
+
+
+@query("SELECT CAST(1200 AS BIGINT) AS join_rows")
+def generated_pair(spark, sf_dir):
+    a, b = generators.cartesian_pair(spark, (40, 30), (2, 2))
+    return relational.natural_join(a, b).agg(F.count("*").alias("join_rows"))
+
+
+@query("SELECT 0.0 AS error, true AS same")
+def compare_factors(spark, sf_dir):
+    """R without the join against R of the join."""
+    t = tree(spark, sf_dir, "t3")
+    error, same = matrix.compare_factors(decompose.upper_factor(t, "heads_tails"), decompose.upper_factor(decompose.single(relational.materialise(t), features=t.features), "heads_tails"), 9)
+    return spark.createDataFrame([(round(error, 9) + 0.0, same)], "error double, same boolean")
+
+
+@query("SELECT * FROM (VALUES ('lineitem__l_quantity'), ('orders__o_totalprice'), ('part__p_retailprice')) t(feature)")
+def alternate_features(spark, sf_dir):
+    t = tree(spark, sf_dir, "t3")
+    return spark.createDataFrame([(f,) for f in relational.alternate_features(t.features, "supplier__s_acctbal")], "feature string")
+
+
+@query("SELECT * FROM (VALUES ('counts', CAST(2 AS BIGINT)), ('factor', CAST(1 AS BIGINT))) t(phase, runs)")
+def phase_timers(spark, sf_dir):
+    timers, t = Timers(), tree(spark, sf_dir, "t2")
+    for _ in range(2):
+        with timers.phase("counts"):
+            counts.join_size(t).first()
+    with timers.phase("factor"):
+        decompose.upper_factor(t)
+    if min(timers.means().values()) <= 0:
+        raise ValueError("a phase took no time")
+    return spark.createDataFrame([(p, len(s)) for p, s in timers.seconds.items()], "phase string, runs long")
+
+
+@query(_chol_sql("t2", ["c_acctbal", "s_acctbal"], 5).split(" SELECT round")[0] + " SELECT CAST(1 AS INTEGER) AS i, CAST(1 AS INTEGER) AS j, " + r9("r11", "value", 5) + " FROM s2 UNION ALL SELECT 1, 2, " + r9("r12", "value", 5) + " FROM s2 UNION ALL SELECT 2, 1, 0.0 FROM s2 UNION ALL SELECT 2, 2, " + r9("r22", "value", 5) + " FROM s2")
+def dumped_factor(spark, sf_dir):
+    """R of a JSON query over Parquet files, as the command line dumps it."""
+    import json
+
+    from .__main__ import main
+
+    attributes = lambda *names: [{"name": n, "type": "double" if n.endswith("acctbal") else "int"} for n in names]
+    home, frames = scratch(spark, "dump"), tree(spark, sf_dir, "t2").nodes
+    for n in frames:
+        n.df.select(*n.keys, *[F.col(f).alias(f.split("__", 1)[1]) for f in n.features]).write.parquet(f"{home}/{n.name}.parquet")
+    relations = [{"name": n.name, "data_path": f"{n.name}.parquet", "attributes": attributes(*n.keys, *(f.split("__", 1)[1] for f in n.features))} for n in frames]
+    leaf = lambda n: {"operator": "relation", "relation": n}
+    hint = {"operator": "QR_TREE", "operands": [{"operator": "natural_join", "central_relation": leaf("nation"), "children": [leaf("customer"), leaf("supplier")]}]}
+    main([json.dumps({"database": {"relations": relations}}), json.dumps({"query": {"evaluation_hint": hint}}), "--base", home, "--dump", f"{home}/out"])
+    rows = spark.read.csv(f"{home}/out/r", schema="i double, j double, value double")
+    return rounded(rows.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "value"), ["i", "j", "value"], 5)
+
+
 @query("SELECT count(*) AS n_rows FROM orders")
 def row_count(spark, sf_dir):
     db = Database(spark)

@@ -165,9 +165,9 @@ class Database:
         return self.relations[name].count()
 
     def report(self) -> DataFrame:
-        """Rows, columns and values of every relation."""
-        rows = [(n, df.count(), len(df.columns), df.count() * len(df.columns)) for n, df in sorted(self.relations.items())]
-        return self.spark.createDataFrame(rows, "relation string, n_rows long, n_columns int, n_values long")
+        """Rows, columns, values and bytes (as dense matrices of eight-byte numbers) of every relation; each is counted once."""
+        sizes = [(n, df.count(), len(df.columns)) for n, df in sorted(self.relations.items())]
+        return self.spark.createDataFrame([(n, r, c, r * c, 8 * r * c) for n, r, c in sizes], "relation string, n_rows long, n_columns int, n_values long, n_bytes long")
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", precision: int = 15, header: bool = False) -> None:
