@@ -2,7 +2,8 @@
 
 Every table has one row for each distinct key; nothing is joined row by row. Dangling rows need
 not be removed first: a key without partners below drops out of the down counts, one without partners above out of the
-up counts. Tables that several others need are persisted into ``kept`` where the caller gives such a list.
+up counts. The final table of each relation, which several others need, is persisted into ``kept`` where the caller gives
+such a list; down counts are cheaper to take from reused exchanges.
 
 Counts are exact longs; a join of more than 2**63 - 1 rows raises an overflow. With exact=False they are doubles, right to 16
 digits and without that limit, which is what the roots of counts in heads and tails need.
@@ -52,20 +53,20 @@ def multiplicity(node: Node) -> DataFrame:
     return node.df.groupBy(*node.keys).agg(F.count("*").alias("v"))
 
 
-def _down(node: Node, out: dict[str, DataFrame], kept: list[DataFrame] | None, exact: bool) -> DataFrame:
+def _down(node: Node, out: dict[str, DataFrame], exact: bool) -> DataFrame:
     by_key = multiplicity(node)
     by_key = (by_key if exact else by_key.withColumn("v", F.col("v").cast("double"))).withColumn("down", F.col("v"))
     for child in node.children:
-        below = _down(child, out, kept, exact).withColumnRenamed("pdown", "__d")
+        below = _down(child, out, exact).withColumnRenamed("pdown", "__d")
         by_key = by_key.join(below, child.parent_keys).withColumn("down", F.col("down") * F.col("__d")).drop("__d")
-    out[node.name] = by_key = keep(by_key, kept)
+    out[node.name] = by_key
     return by_key.groupBy(*node.parent_keys).agg(F.sum("down").alias("pdown"))
 
 
-def down_counts(tree: JoinTree, kept: list[DataFrame] | None = None, exact: bool = True) -> dict[str, DataFrame]:
+def down_counts(tree: JoinTree, exact: bool = True) -> dict[str, DataFrame]:
     """Per relation (keys, v, down): rows of the subtree's join for each key."""
     out: dict[str, DataFrame] = {}
-    _down(tree.root, out, kept, exact)
+    _down(tree.root, out, exact)
     return out
 
 
@@ -80,7 +81,7 @@ def all_counts(tree: JoinTree, kept: list[DataFrame] | None = None, exact: bool
 
     circle(k) is how often each row with key k occurs in the join, up(p) how often each row of the subtree's join does.
     """
-    downs, out = down_counts(tree, kept, exact), {}
+    downs, out = down_counts(tree, exact), {}
     # Both divisions leave no remainder; on longs they stay exact beyond 2**53.
     ratio = (lambda a, b: F.expr(f"{a} div {b}")) if exact else (lambda a, b: F.col(a) / F.col(b))
 

@@ -61,9 +61,9 @@ def upper_factor(tree: JoinTree, method: str = "auto") -> np.ndarray:
         return r if r is not None else upper_factor(tree, "heads_tails")
     if not tree.root.children:
         return tsqr(tree.root.df, tree.features)
-    kept: list[DataFrame] = []  # counts and heads serve several blocks; they are computed once
+    kept: list[DataFrame] = []  # counts serve several blocks; they are computed once
     try:
-        return upper_of_blocks(blocks(tree, all_counts(tree, kept, exact=False), True, kept), tree.features)
+        return upper_of_blocks(blocks(tree, all_counts(tree, kept, exact=False), True), tree.features)
     finally:
         release(kept)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.tree import JoinTree, Node
-from .counts import NodeCounts, all_counts, keep, spread
+from .counts import NodeCounts, all_counts, spread
 
 SCALE = "__scale"
 
@@ -110,7 +110,7 @@ def aggregate_away(own: DataFrame, node: Node, below: dict[str, DataFrame]) -> D
     return joined.select(*node.keys, *cells, but("-").alias(SCALE))
 
 
-def blocks(tree: JoinTree, counts: dict[str, NodeCounts] | None = None, centred_tails: bool = False, kept: list[DataFrame] | None = None) -> list[Block]:
+def blocks(tree: JoinTree, counts: dict[str, NodeCounts] | None = None, centred_tails: bool = False) -> list[Block]:
     """The reduced matrix of a tree, block by block: tails, generalised tails, and the root's heads.
 
     Dangling rows drop out at the joins with the counts: all rows of a key share their fate.
@@ -121,7 +121,7 @@ def blocks(tree: JoinTree, counts: dict[str, NodeCounts] | None = None, centred_
         below = {c.name: visit(c) for c in node.children}
         c, keys, own_features = counts[node.name], node.keys, node.features
         if own_features:
-            own = keep(heads(node.df, keys, own_features), kept)
+            own = heads(node.df, keys, own_features)
             if centred_tails:
                 rows = centred(node.df, own, keys, c.by_key, "circle", own_features)
             else:
@@ -138,7 +138,7 @@ def blocks(tree: JoinTree, counts: dict[str, NodeCounts] | None = None, centred_
                 out.append(Block(f"head_{node.name}", features, joined.select(*node.parent_keys, *features)))
             return joined
         keys = node.parent_keys
-        up = keep(weighted_heads(joined, keys, features), kept)
+        up = weighted_heads(joined, keys, features)
         if features:
             if centred_tails:
                 rows = centred(joined, up, keys, c.by_parent, "up", features, F.col(SCALE))
