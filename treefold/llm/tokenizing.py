@@ -6,13 +6,15 @@ unseen pieces reach the library's BPE model. Whatever the split cannot be proven
 outside Latin) goes through the library's full encoder instead. Added tokens that a text spells out (such as
 <|endoftext|>) get their own ids, as the library gives them; the text between them is encoded stretch by stretch.
 
-Memory is bounded: parts above LONG characters are not remembered, and a memo that has used up its bytes starts anew.
+Memory is bounded: parts above LONG characters are not remembered, and a memo that has used up half of its bytes becomes
+the old generation of a new one, so that frequent words stay known and rare ones are forgotten.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -24,8 +26,11 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0                
 LATIN_END = "ɏ"
 #: Parts above this many characters are rarely met again and are not remembered.
 LONG = 64
+#: Signs that are a piece of their own behind a word.
+STOPS = frozenset(".,;:!?)")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 #: About what an entry of a memo takes beside its key and its ids.
-ENTRY_BYTES = 200
+ENTRY_BYTES = 120
 
 
 def vocabulary(name: str) -> str:
@@ -62,15 +67,16 @@ class WordEncoder:
         self.parts = _Memo(self._part)
         self.seen = _Memo(self._merge)
         self.spaces = re.compile(f"[{SPACE}]+")
+        self.odd = re.compile("[\x1c-\x1f]").search
         self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         # Tokens that also take in what stands beside them, or that are met after normalising, are left to the library.
         self.plain_added = not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def encode(self, text: str) -> bytes:
-        if self.parts.size + self.seen.size > self.most:
-            self.parts.clear()
-            self.seen.clear()
+        if self.parts.size + self.seen.size > self.most // 2:  # the other half is the old generation's
+            self.parts.age()
+            self.seen.age()
         if any(t in text for t in self.added):
             if not self.plain_added:
                 return self._whole(text)
@@ -81,7 +87,7 @@ class WordEncoder:
         """Ids of a text without added tokens."""
         if self.lower:
             # str.split() also splits at four control characters, which the library takes for symbols.
-            odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+            odd = self.odd(text)
             out, at = [], 0
             while at < len(text):  # one stretch, but for very long texts
                 cut = self._cut(text, at + self.stretch) if len(text) - at > self.stretch else len(text)
@@ -110,7 +116,7 @@ class WordEncoder:
         """Ids of a text, or of its part from a space on (which the part does not repeat)."""
         head, *rest = text.split(" ") if first else ("", *text.split(" "))
         whole = text if first else " " + text
-        if first and (not rest or not head or head[-1] in SPACE or any("\x1c" <= c <= "\x1f" for c in head)):
+        if first and (not rest or not head or head[-1] in SPACE or self.odd(head)):
             return self._whole(whole)  # white space at the very start may run on into the next part
         try:
             return b"".join(map(self._piece, self.pieces(head))) + b"".join(map(self.parts.__getitem__, rest))
@@ -122,47 +128,61 @@ class WordEncoder:
 
     def _part(self, w: str) -> bytes | None:
         """Ids of one part between spaces; None if it starts a run of white space."""
+        latin = w.isascii() or max(w) <= LATIN_END
         if self.lower:
             if not w:
                 return b""
-            if max(w) > LATIN_END or not unicodedata.is_normalized("NFC", w):
+            if not latin or not (w.isascii() or unicodedata.is_normalized("NFC", w)):
                 return self._whole(w)
             w = w.lower()
-            return self._merge(w) if w.isalpha() else b"".join(map(self._piece, self.pieces(w)))
-        if not w or w[0] in SPACE:
+        elif not w or w[0] in SPACE:
             return None
-        if w.isascii() and w.isalpha():
-            return self._merge(" " + w)
-        if any("\x1c" <= c <= "\x1f" for c in w):
+        if latin and w.isalpha():
+            return self._merge(w if self.lower else " " + w)
+        if w[-1] in STOPS and w.isascii() and w[:-1].isalpha():  # two pieces
+            return self.parts[w[:-1]] + self.seen[w[-1]]
+        if not self.lower and self.odd(w):
             return self._whole(" " + w)
-        return b"".join(map(self._piece, self.pieces(" " + w)))
+        return b"".join(map(self._piece, self.pieces(w if self.lower else " " + w)))
 
     def _piece(self, p: str) -> bytes:
         """Ids of one piece: known as a part of its own, known as a piece, or new."""
-        got = self.parts.get(p if self.lower else p[1:] if p[0] == " " else "")
+        got = self.parts.known(p if self.lower else p[1:] if p[0] == " " else "")
         return self.seen[p] if got is None else got
 
     def _merge(self, p: str) -> bytes:
-        word = p.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        word = p.replace(" ", self.letters[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
 
 
 class _Memo(dict):
-    """Works out what it does not hold yet, and counts the bytes of what it remembers."""
+    """Works out what it does not hold yet, and counts the bytes of what it remembers.
+
+    age() makes it the old generation and starts a new one; what is met again moves over, the rest goes at the next age().
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.size = make, 0
+        self.make, self.size, self.old = make, 0, {}
 
     def __missing__(self, key):
-        got = self.make(key)
+        got = self.old.get(key, self)
+        if got is self:
+            got = self.make(key)
         if len(key) <= LONG:
             self[key] = got
             self.size += ENTRY_BYTES + 2 * len(key) + len(got or b"")
         return got
 
-    def clear(self):
-        super().clear()
+    def known(self, key):
+        """What is remembered of key in either generation, or None."""
+        got = self.get(key)
+        return self.old.get(key) if got is None else got
+
+    def age(self):
+        self.old = dict(self)
+        self.clear()
         self.size = 0
 
 
