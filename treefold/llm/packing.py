@@ -181,6 +181,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(texts.mapInArrow(run, PIECES), "pieces")
     left = first.where("sequence_id is null")
-    # Sixteen groups a task: the one window or two that a task's last group pads are few beside the others.
-    tasks = max(1, left.count() // (16 * group))
+    # Four groups a task: the one window or two that a task's last group pads are few beside the others.
+    tasks = max(1, left.count() // (4 * group))
     return first.where("sequence_id is not null").unionAll(left.repartition(tasks).mapInArrow(rest, PIECES))
