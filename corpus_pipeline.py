@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treefold.llm.base import ROW_KEYS, least_rows, order_id, scratch, with_row_keys, written
 from treefold.llm.jaccard import drop_similar
@@ -29,12 +30,20 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are."""
+    """Documents that the quality rules keep, as they are.
+
+    Null and empty texts fail the base rules and go; rows that repeat get equal verdicts; null ids are judged like others;
+    very long texts are judged whole; other columns of the input are left out; an empty table stays empty.
+    """
     return quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every repeated line stays in the smallest document that has it; documents of which nothing is left go."""
+    """Every repeated line stays in the smallest document that has it; documents of which nothing is left go.
+
+    Null ids come last and count as one document, so they keep each other's lines, as do rows of one id; a null text
+    becomes an empty one; other columns of the input are left out; an empty table stays empty.
+    """
     kept = dedup_lines(docs.select(*COLUMNS))
     return _with_text(kept.where("n_dropped < n_lines or n_dropped = 0"), F.col("text"))
 
@@ -48,17 +57,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What SimHash links goes first; then of pairs of similarity 0.8 or more over five-word shingles, which it mostly misses."""
+    """What SimHash links goes first; then of pairs of similarity 0.8 or more over five-word shingles, which it mostly misses.
+
+    Rows are told apart by id and text, never by id alone: different texts that share an id or have none all stay, true
+    copies are one group whatever their ids. Texts without words are one group; an empty table stays empty.
+    """
     return drop_similar(written(drop_near_duplicates(spark, docs, sf_dir), "simhash-kept"))
 
 
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with __n, which tells rows of one id, text and source apart."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th", "__src").orderBy(*order)))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole copies, and of one more copy the words that its blocks hold."""
-    plan = mix_sources(docs).select(
-        order_id(F.col("doc_id")).alias("__id"), "__th", "size", "__passes", "__from1", "__to1", "__from2", "__to2"
-    ).dropDuplicates(["__id", "__th"])
-    keyed = docs.select(*COLUMNS, order_id(F.col("doc_id")).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th"))
-    taken = keyed.join(plan, ["__id", "__th"])
+    """Documents as often as the mix takes them: whole copies, and of one more copy the words that its blocks hold.
+
+    Rows that repeat are separate documents, each with its own share of the plan; null sources are a source of their own;
+    texts without words are taken no time; an empty table stays empty.
+    """
+    source = F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("__src")
+    plan = mix_sources(docs).select(order_id(F.col("doc_id")).alias("__id"), "__th", source, "size", "__passes", "__from1", "__to1", "__from2", "__to2")
+    keyed = docs.select(*COLUMNS, order_id(F.col("doc_id")).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th"), source)
+    plan = _numbered(plan, ["__passes", "__from1", "__to1", "__from2", "__to2"])
+    taken = _numbered(keyed, ["lang", "n_chars"]).join(plan, ["__id", "__th", "__src", "__n"])
     spans = F.concat(
         F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("size").alias("b")), F.col("__passes").cast("int")),
         F.array(F.struct(F.col("__from1").alias("a"), F.col("__to1").alias("b")), F.struct(F.col("__from2").alias("a"), F.col("__to2").alias("b"))),
@@ -71,7 +93,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: one row for each piece of a document."""
+    """Sequences of at most 4096 tokens: one row for each piece of a document.
+
+    Every row is a document of its own, whatever its id; null and empty texts have the end id alone; an empty table has
+    no pieces.
+    """
     pieces = pack_documents(docs, vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
