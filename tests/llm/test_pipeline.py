@@ -83,3 +83,25 @@ def test_run_and_empty_tables(spark, corpus, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{corpus}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert cp.run(spark, str(tmp_path)).where(F.col("length") > 0).count() == 0
+
+
+def test_stages_on_repeated_and_missing_ids(spark, tmp_path):
+    """Rows that share an id, a text, both or neither: no different text is lost, and each row has its own share of the mix."""
+    rng = random.Random(31)
+    text = lambda n=70: " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(10**6)}" for _ in range(n))
+    apart = [(i, text(), "en", s, 1) for i, s in [(None, "a"), (None, "a"), (None, None), (5, "a"), (5, "b"), (6, "a")]]
+    same = text()
+    rows = apart + [(7, same, "en", "a", 1)] * 3 + [(7, same, "en", "b", 1), (8, same, "de", None, 2), (9, None, None, None, None), (9, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"__id": F.lit(1), "kept": F.lit("x"), "row": F.lit(2)})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    good = cp.keep_quality(spark, docs, str(tmp_path))
+    assert collections.Counter(rows_of(good)) == collections.Counter(rows[:-2])
+    assert {t for _, t, *_ in rows_of(cp.drop_repeated_lines(spark, docs, ""))} >= {t for _, t, *_ in apart}
+    near = rows_of(cp.near_dedup(spark, docs, ""))
+    assert sorted(t for _, t, *_ in near if t) == sorted([*(t for _, t, *_ in apart), same]) and len(near) == 8
+    words = lambda rows: collections.Counter((i, s, t.split()[0] if t else "") for i, t, _, s, _ in rows)
+    mixed = rows_of(cp.mix(spark, docs, ""))
+    taken = sum(len(WORD.findall(t)) for _, t, *_ in mixed)
+    assert abs(taken - sum(len(WORD.findall(t or "")) for _, t, *_ in rows)) <= 3 and len(words(mixed)) > 0
+    packed = cp.pack(spark, docs, "").collect()
+    assert sum(r["length"] for r in packed) == sum(len(slow_ids("word_bpe_49k.json", t)) for _, t, *_ in rows)

@@ -2,58 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete, scratch, shared_dir
+
+__all__ = ["delete", "scratch", "shared_dir"]
+
 #: The six characters that separate words everywhere in this subpackage.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 #: Stands for a null id wherever ids are ordered: null comes last.
 LAST_ID = (1 << 63) - 1
 
-_made: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where all run in one process."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    path = sc.getConf().get("spark.checkpoint.dir", "")
-    if not path:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="treefold-")
-    sc.setCheckpointDir(path)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; it is deleted when this driver ends."""
-    path = f"{shared_dir(spark)}/treefold-{tag}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  its session may have ended before; others may not
-            continue
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, cut off from its lineage, safe from lost executors."""
     spark = df.sparkSession
