@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .base import ROW_KEYS, least_rows, with_row_keys, written
 from .simhash import _TO_LOWER, components
+from .textnum import give_back
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 24, 4, 42
 
@@ -79,6 +80,7 @@ def prints(keyed: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 keys[i] = band_keys(s, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.array(sid, np.uint64).view(np.int64)), lists], [*ROW_KEYS, "sid", "keys"])
+        give_back()
 
     return keyed.select(*ROW_KEYS, "text").mapInArrow(run, "__id long, __t1 long, __t2 long, __row long, sid long, keys array<long>")
 
@@ -176,6 +178,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             blobs = pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), blobs], ["sid", "shingles"])
+        give_back()
 
     return texts.mapInArrow(run, "sid long, shingles binary")
 

@@ -276,6 +276,7 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([write_raw_track(pad(r)) for r in raw], pa.binary())], ["doc_id", "n_bytes", "media"]
                 )
+        tn.give_back()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -309,6 +310,7 @@ def payload_digests(media: DataFrame, media_col: str = "media") -> DataFrame:
                 rows["media_sha256"].append(hashlib.sha256(data).hexdigest())
                 rows["feature"].append(f"{track.handler}/{track.codec.strip()} {track.duration}/{track.timescale}s keys={len(key_at)} ranges={zlib.crc32(ranges):08x}")
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(rows[c], kind) for c, kind in DIGESTS.items())], [*rest, *DIGESTS])
+        tn.give_back()
 
     kinds = ", ".join(f"{c} {'long' if pa.types.is_integer(k) else 'string'}" for c, k in DIGESTS.items())
     return media.select(media_col, *rest).mapInArrow(run, ", ".join([*fields, kinds]))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import written
+from .textnum import give_back
 from .tokenizing import encoder
 
 CAPACITY = 4096
@@ -166,6 +167,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
         out += [(name, start, n, total, None, None, ids) for (name, total, _, ids), start, n in packer.pending]
         if out:
             yield _batch(out)
+        give_back()
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -177,6 +179,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
                     yield _batch(rows)
         if rows := packer.flush():
             yield _batch(rows)
+        give_back()
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(texts.mapInArrow(run, PIECES), "pieces")

@@ -79,6 +79,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             stats = [statistics(data, offsets, hashes, first).astype("<f4") for _, data, offsets, hashes, first in parts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for s in stats for r in s], pa.binary())], ["doc_id", "stats"])
+        tn.give_back()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, stats binary")
 

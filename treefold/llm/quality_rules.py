@@ -92,14 +92,17 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data) or data.max() < 0x80:
         return data.astype(np.uint32), np.arange(len(data))
     at = np.flatnonzero(~NOT_FIRST_BYTE[data])
-    first = data[at].astype(np.uint32)
-    more = [data[np.minimum(at + k, len(data) - 1)].astype(np.uint32) & 0x3F for k in (1, 2, 3)]
+    out = data[at].astype(np.uint32)
+    wide = np.flatnonzero(out >= 0xC0)  # few in most texts
+    first = out[wide]
+    more = [data[np.minimum(at[wide] + k, len(data) - 1)].astype(np.uint32) & 0x3F for k in (1, 2, 3)]
     two, three = (first & 0x1F) << 6 | more[0], (first & 0x0F) << 12 | more[0] << 6 | more[1]
     four = (first & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
-    return np.select([first < 0x80, first < 0xE0, first < 0xF0], [first, two, three], four), at
+    out[wide] = np.where(first < 0xE0, two, np.where(first < 0xF0, three, four))
+    return out, at
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, slots, texts) of all word grams (kind 0) and, stretch by stretch, of all 4-grams of characters (kind 1)."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     shift = np.uint64(64 - TABLE_BITS)
@@ -114,7 +117,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.n
             continue
         step = np.uint32(0x01000193)
         four = (((chars[:n] * step + chars[1 : n + 1]) * step + chars[2 : n + 2]) * step + chars[3 : n + 3]) * np.uint32(0x9E3779B1)
-        of = np.searchsorted(offsets, at[: n + 3] + low, "right") - 1 if len(offsets) > 2 else np.zeros(n + 3, np.int64)
+        of = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(at[: n + 3], offsets - low)))
         whole = of[:n] == of[3:]
         yield 1, (four >> np.uint32(32 - TABLE_BITS))[whole].astype(np.int64), of[:n][whole]
 
@@ -237,6 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
                     [batch.column(0).slice(at, len(part)), *(pa.array(c, pa.binary()) for c in cols), batch.column(2).slice(at, len(part))], ["id", "a", "b", "c", "d", "y"]
                 )
                 at += len(part)
+        tn.give_back()
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -280,6 +284,7 @@ def judge(docs: DataFrame, model: GramModel | None, keep_at: float = KEEP_AT, te
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, *(pa.array(b.astype(np.int64)) for b in base), pa.array(failed), pa.array(p), pa.array(~failed & (p >= keep_at))], [*rest, *new]
                 )
+        tn.give_back()
 
     return docs.select(*rest).mapInArrow(run, schema)
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import order_id, written
+from .textnum import give_back
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 UPPER = bytes(range(65, 91))
@@ -57,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *keep])
+        give_back()
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     return texts.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in keep)]))

@@ -8,6 +8,8 @@ base, so words above LONG_WORD bytes are hashed by BLAKE2b instead; windows have
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -25,6 +27,13 @@ _STRETCH = 1 << 20
 LONG_WORD = 64
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers outlive their tasks, and idle ones add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     known = _powers.get(base)
@@ -55,7 +64,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def pieces(n_rows: int, offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(n_rows: int, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most about ``most`` bytes, one row at least."""
     low = 0
     while low < n_rows:

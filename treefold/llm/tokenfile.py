@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import order_id, scratch
+from .textnum import give_back
 from .tokenizing import encoder
 
 #: Ids in a word and bits of an id, by selector.
@@ -173,6 +174,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                     held = 0
         if names:
             yield flush()
+        give_back()
 
     ordered.mapInArrow(encode, FILE_SCHEMA).write.parquet(path)
 

@@ -50,7 +50,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """encode(text) gives the ids as bytes (uint32, little-endian); equal to the library's encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str, memo_bytes: int = 256 << 20, stretch: int = 1 << 20):
+    def __init__(self, path: str, memo_bytes: int = 192 << 20, stretch: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
