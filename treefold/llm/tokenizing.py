@@ -58,6 +58,7 @@ class WordEncoder:
             spec = json.load(f)
         self.lower = spec["normalizer"] is not None  # the word vocabulary normalises and drops white space
         self.model = self.full.model
+        self.model._resize_cache(0)  # the memos take its place; it would only be searched in vain
         self.letters = _byte_letters()
         if self.lower:
             self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -139,10 +140,15 @@ class WordEncoder:
             return None
         if latin and w.isalpha():
             return self._merge(w if self.lower else " " + w)
-        if w[-1] in STOPS and w.isascii() and w[:-1].isalpha():  # two pieces
+        if latin and w[-1] in STOPS and w[:-1].isalpha():  # two pieces
             return self.parts[w[:-1]] + self.seen[w[-1]]
-        if not self.lower and self.odd(w):
-            return self._whole(" " + w)
+        if not self.lower:
+            if self.odd(w):
+                return self._whole(" " + w)
+            before, line_end, after = w.partition("\n")
+            if after and after[0] not in SPACE and before[-1] not in SPACE:  # a lone line end is a piece of its own
+                rest = self.seen[after] if latin and after.isalpha() else b"".join(map(self._piece, self.pieces(after)))
+                return self.parts[before] + self.seen[line_end] + rest
         return b"".join(map(self._piece, self.pieces(w if self.lower else " " + w)))
 
     def _piece(self, p: str) -> bytes:
