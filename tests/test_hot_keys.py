@@ -10,7 +10,7 @@ from treefold.operators import gridjoin
 from treefold.plans.tree import JoinTree
 
 #: Queries with a row for each row of the join.
-SPREAD = ["lu_l_factorized"]
+SPREAD = ["lu_l_factorized", "pca_half"]
 
 
 @pytest.fixture(scope="module")
