@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from treefold.operators import gridjoin
+from treefold.operators import gridjoin, relational
 from treefold.plans.tree import JoinTree
 
 #: Queries with a row for each row of the join.
@@ -45,3 +45,21 @@ def test_grid_gives_the_rows_of_the_join(spark, monkeypatch):
     ab = gridjoin.grid_join(a, b, ["k"], found["b"])
     got = gridjoin.grid_join(ab, c, ["k"], found["c"])
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, a.join(b, "k").join(c, "k").collect()))
+
+
+@pytest.mark.parametrize("order", [["a", "b", "c"], ["b", "c", "a"], ["c", "a", "b"], ["b", "a"]])
+def test_top_fraction_is_the_sorted_end(spark, monkeypatch, order):
+    """Against a sort, with nulls, NaN and ties, and with more values than the driver takes."""
+    monkeypatch.setattr(relational, "MOST_VALUES", 50, raising=False)
+    rows = [(i % 3 or None, [float("nan"), None, float(i % 7), i * 0.25][i % 4], f"t{i * 7 % 90}") for i in range(600)] * 2
+    df = spark.createDataFrame(rows, "a long, b double, c string").select(*order)
+    sorted_rows = [str(tuple(r)) for r in df.orderBy(*[F.col(c).desc() for c in order]).collect()]
+    for fraction in (0.0, 0.05, 0.6, 1.0):
+        got = relational.top_fraction(df, fraction)
+        assert Counter(str(tuple(r)) for r in got.collect()) == Counter(sorted_rows[: int(1200 * fraction)])
+        assert "TakeOrdered" not in got._jdf.queryExecution().toString()  # it holds its limit in memory
+
+
+def test_reduce_to_top_holds_no_rows(spark, hot):
+    top = e.queries()["reduce_to_top"](spark, hot)
+    assert "TakeOrdered" not in top._jdf.queryExecution().toString() and 140 <= top.count() <= 300
