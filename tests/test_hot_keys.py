@@ -63,3 +63,7 @@ def test_top_fraction_is_the_sorted_end(spark, monkeypatch, order):
 def test_reduce_to_top_holds_no_rows(spark, hot):
     top = e.queries()["reduce_to_top"](spark, hot)
     assert "TakeOrdered" not in top._jdf.queryExecution().toString() and 140 <= top.count() <= 300
+
+
+def test_top_of_a_join_is_whole(spark, hot):
+    assert e.queries()["top_fraction_join"](spark, hot).count() == 450_000
