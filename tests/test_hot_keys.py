@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from treefold.operators import gridjoin, relational
+from treefold.operators import decompose, gridjoin, relational, rightmul
 from treefold.plans.tree import JoinTree
 
 #: Queries with a row for each row of the join.
@@ -67,3 +68,15 @@ def test_reduce_to_top_holds_no_rows(spark, hot):
 
 def test_top_of_a_join_is_whole(spark, hot):
     assert e.queries()["top_fraction_join"](spark, hot).count() == 450_000
+
+
+def test_extreme_of_rows_takes_no_structs_of_all_rows(spark, monkeypatch):
+    """Both signs, ties to the larger row; only rows that reach the extreme are compared as rows."""
+    tree = decompose.single(spark.createDataFrame([(-3.0, 1.0), (3.0, 2.0), (3.0, 5.0), (1.0, 9.0), (None, 1.0)], "x double, y double"))
+    structs = []
+    whole = F.struct
+    monkeypatch.setattr(rightmul.F, "struct", lambda *c: structs.append(len(c)) or whole(*c))
+    assert rightmul.extreme_row(tree, np.array([1.0, 0.0]))[0].tolist() == [3.0, 5.0]
+    assert rightmul.extreme_row(tree, np.array([0.0, -1.0]))[0].tolist() == [1.0, 9.0]
+    assert rightmul.extreme_row(tree, np.array([-1.0, 0.0]))[0].tolist() == [-3.0, 1.0]
+    assert structs == [2, 2, 2]
