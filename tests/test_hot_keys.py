@@ -11,7 +11,7 @@ from treefold.operators import decompose, gridjoin, relational, rightmul
 from treefold.plans.tree import JoinTree
 
 #: Queries with a row for each row of the join.
-SPREAD = ["lu_l_factorized", "pca_half", "pca_scores_eigen_dc", "pca_scores_factorized", "pca_scores_qr_iter", "svd_u", "pca_scores_divide_conquer", "pca_scores_eigen_qr", "pca_scores_power", "qr_q_factorized", "pca_scores_eigen", "pca_scores_eigen_rrr"]
+SPREAD = ["lu_l_factorized", "pca_half", "pca_scores_eigen_dc", "pca_scores_factorized", "pca_scores_qr_iter", "svd_u", "pca_scores_divide_conquer", "pca_scores_eigen_qr", "pca_scores_power", "qr_q_factorized", "pca_scores_eigen", "pca_scores_eigen_rrr", "pca_scores_qr"]
 
 
 @pytest.fixture(scope="module")
