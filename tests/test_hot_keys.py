@@ -70,6 +70,22 @@ def test_top_of_a_join_is_whole(spark, hot):
     assert e.queries()["top_fraction_join"](spark, hot).count() == 450_000
 
 
+@pytest.mark.parametrize("order", [None, ["a"]])
+def test_equal_rows_at_the_end_of_the_top_pass_no_single_task(spark, order):
+    """Rows alike are written out, not read again and cut in one task; rows that the order leaves open are still cut."""
+    rows = [(1, float("nan"), "x")] * 700 + [(1, None, "y")] * 200 + [(None, 0.5, "z")] * 100
+    df = spark.createDataFrame(rows, "a long, b double, c string")
+    for fraction in (0.05, 0.7, 0.75, 0.95):
+        top = relational.top_fraction(df, fraction, order)
+        assert top.count() == 1000 * fraction and (order or not top.subtract(df).count())
+        assert top.schema == df.schema and (order or "Limit" not in top._jdf.queryExecution().toString())
+
+
+def test_top_of_a_join_holds_no_rows(spark, hot):
+    top = e.queries()["top_fraction_join"](spark, hot)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in top and "Limit" not in top
+
+
 def test_extreme_of_rows_takes_no_structs_of_all_rows(spark, monkeypatch):
     """Both signs, ties to the larger row; only rows that reach the extreme are compared as rows."""
     tree = decompose.single(spark.createDataFrame([(-3.0, 1.0), (3.0, 2.0), (3.0, 5.0), (1.0, 9.0), (None, 1.0)], "x double, y double"))
