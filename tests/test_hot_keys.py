@@ -1,6 +1,7 @@
 """Joins in which one key makes millions of rows of little input: the rows are whole and no task makes most of them."""
 
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -34,6 +35,45 @@ def test_no_task_makes_most_rows(spark, hot, name):
     assert sum(made) == 9_000_000 and max(made) < 5_000_000
 
 
+#: Queries of which the files were measured.
+SMALL = ["pca_scores_eigen"]
+
+
+@pytest.fixture(scope="module")
+def alike(spark, hot, tmp_path_factory):
+    """One nation with 30 times 100 customers and 30 times 100 suppliers: 10,000 different rows, each 900 times."""
+    home = str(tmp_path_factory.mktemp("alike"))
+    for name, value in (("customer", "c_acctbal"), ("supplier", "s_acctbal")):
+        df = spark.read.parquet(f"{hot}/{name}.parquet")
+        df.withColumn(value, F.xxhash64(F.col(df.columns[0]) % 100, F.lit(value)) % 100_000 / 100).coalesce(1).write.parquet(f"{home}/{name}.parquet")
+    spark.read.parquet(f"{hot}/nation.parquet").write.parquet(f"{home}/nation.parquet")
+    return home
+
+
+@pytest.mark.parametrize("name", SMALL)
+def test_equal_rows_take_little_disk(spark, alike, tmp_path, name):
+    """Equal rows come one after the other, so that files hold each of them once."""
+    e.queries()[name](spark, alike).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").groupBy("p1", "p2").count()
+    assert rows.agg(F.count("*"), F.min("count"), F.max("count")).first() == (10_000, 900, 900)
+    assert sum(p.stat().st_size for p in Path(tmp_path, "out").glob("*.parquet")) < 1_000_000
+
+
+@pytest.mark.parametrize("cell,run,stretch", [(1, 2, 1), (2, 3, 2), (1000, 64, 4096)])
+def test_runs_give_the_rows_of_the_join(spark, monkeypatch, cell, run, stretch):
+    """Rows alike more and less often than a run is long, with nulls, NaN and keys on one side only."""
+    monkeypatch.setattr(gridjoin, "CELL", cell)
+    monkeypatch.setattr(gridjoin, "RUN", run)
+    monkeypatch.setattr(gridjoin._runs, "__defaults__", (stretch,))
+    a = spark.createDataFrame([(1, 0.5)] * 7 + [(1, float("nan"))] * 2 + [(2, None)] * 5 + [(3, 1.0), (None, 1.0)], "k long, x double")
+    b = spark.createDataFrame([(1, 1.5)] * 4 + [(1, None), (2, -1.0), (2, 3.0), (2, 3.0), (4, 1.0)], "k long, y double")
+    cells = spark.createDataFrame([(1, 3, 2)], "k long, __a long, __b long")
+    assert gridjoin._runs(a, stretch).agg(F.sum("__n"), F.max("__n")).first() == (16, min(run, 7))
+    got = gridjoin.grid_join(a, b, ["k"], gridjoin.Grid(F.broadcast(cells), 4))
+    plain = lambda df: Counter(str(tuple(r)) for r in df.collect())
+    assert plain(got) == plain(a.join(b, "k")) and got.columns == ["k", "x", "y"]
+
+
 def test_grid_gives_the_rows_of_the_join(spark, monkeypatch):
     """Cells of one row, with equal rows, keys on one side only, nulls and a third relation above."""
     monkeypatch.setattr(gridjoin, "CELL", 1)
