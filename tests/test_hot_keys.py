@@ -36,7 +36,7 @@ def test_no_task_makes_most_rows(spark, hot, name):
 
 
 #: Queries of which the files were measured.
-SMALL = ["pca_scores_eigen", "pca_scores_divide_conquer"]
+SMALL = ["pca_scores_eigen", "pca_scores_divide_conquer", "pca_scores_eigen_qr"]
 
 
 @pytest.fixture(scope="module")
