@@ -36,7 +36,7 @@ def test_no_task_makes_most_rows(spark, hot, name):
 
 
 #: Queries of which the files were measured.
-SMALL = ["pca_scores_eigen", "pca_scores_divide_conquer", "pca_scores_eigen_qr", "pca_scores_power"]
+SMALL = ["pca_scores_eigen", "pca_scores_divide_conquer", "pca_scores_eigen_qr", "pca_scores_power", "pca_scores_eigen_rrr"]
 
 
 @pytest.fixture(scope="module")
