@@ -36,7 +36,7 @@ def test_no_task_makes_most_rows(spark, hot, name):
 
 
 #: Queries of which the files were measured.
-SMALL = ["pca_scores_eigen", "pca_scores_divide_conquer", "pca_scores_eigen_qr", "pca_scores_power", "pca_scores_eigen_rrr", "pca_scores_factorized", "pca_scores_qr", "pca_scores_eigen_dc"]
+SMALL = ["pca_scores_eigen", "pca_scores_divide_conquer", "pca_scores_eigen_qr", "pca_scores_power", "pca_scores_eigen_rrr", "pca_scores_factorized", "pca_scores_qr", "pca_scores_eigen_dc", "pca_scores_qr_iter"]
 
 
 @pytest.fixture(scope="module")
